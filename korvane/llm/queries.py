@@ -5,13 +5,17 @@ from __future__ import annotations
 from korvane.llm.pieces import op5_sentencepiece
 from korvane.llm.quality import op8_quality
 from korvane.llm.token_counts import op3_token_counts
+from korvane.llm.topk import OP1_SQL, op1_topk
 from korvane.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_quality": op8_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": OP1_SQL,
+}
