@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from korvane.llm.pieces import op5_sentencepiece
 from korvane.llm.quality import op8_quality
+from korvane.llm.repeats import op6_suffix_dedup
 from korvane.llm.token_counts import op3_token_counts
 from korvane.llm.topk import OP1_SQL, op1_topk
 from korvane.llm.toxicity import op2_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality": op8_quality,
 }
 
