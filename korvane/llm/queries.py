@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from korvane.llm.near_dups import op4_near_dups
 from korvane.llm.pieces import op5_sentencepiece
 from korvane.llm.quality import op8_quality
 from korvane.llm.repeats import op6_suffix_dedup
+from korvane.llm.sharding import op9_sharding
 from korvane.llm.token_counts import op3_token_counts
 from korvane.llm.topk import OP1_SQL, op1_topk
 from korvane.llm.toxicity import op2_toxicity
@@ -13,9 +15,11 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dups": op4_near_dups,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality": op8_quality,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
