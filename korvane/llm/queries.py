@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from korvane.llm.leaks import op7_leaks
 from korvane.llm.near_dups import op4_near_dups
 from korvane.llm.pieces import op5_sentencepiece
 from korvane.llm.quality import op8_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_near_dups": op4_near_dups,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_leaks": op7_leaks,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
