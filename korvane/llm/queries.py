@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from korvane.llm.leaks import op7_leaks
+from korvane.llm.licenses import op10_licenses
 from korvane.llm.near_dups import op4_near_dups
 from korvane.llm.pieces import op5_sentencepiece
 from korvane.llm.quality import op8_quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_leaks": op7_leaks,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {

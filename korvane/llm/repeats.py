@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from korvane.llm.common import byte_table, materialize, mix, table, text_bytes
 
@@ -138,7 +139,8 @@ class Block:
 
     def __init__(self, t: pa.Table, copies: set[int]):
         ids, texts = t.column("doc_id").to_pylist(), t.column("text").cast(pa.large_binary()).to_pylist()
-        rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""))
+        self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b""))
+        rows = [(ids[k], texts[k]) for k in self.order]
         self.ids, self.texts = [r[0] for r in rows], [r[1] or b"" for r in rows]
         self.copy = [i in copies for i in self.ids]
         self.row, self.pos, self.hash, own, at = [], [], [], [], []
@@ -211,6 +213,7 @@ class Block:
 # --- what moves ----------------------------------------------------------------------------------------------------
 
 NOTE = "blk long, kind int, bucket long, a binary, b binary, c binary, d binary"
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 NOTES = pa.schema([("blk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), *((x, pa.binary()) for x in "abcd")])
 COPIES, SHARED, NEAR, FAR = range(4)
 
@@ -372,9 +375,7 @@ def judge(t: pa.Table) -> pa.Table:
     return notes(out)
 
 
-def cut(keep_text: bool):
-    kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-
+def cut(keep_text: bool, carry: list[str]):
     def run(t: pa.Table, more: pa.Table) -> pa.Table:
         got = read_notes(more)
         b = block_of(t, got)
@@ -422,21 +423,26 @@ def cut(keep_text: bool):
                 n_removed.append(0), n_spans.append(0)
                 left = x
             sha.append(hashlib.sha256(left).hexdigest())
-            kept.append(left if keep_text else None)
-        return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array([len(x) for x in b.texts], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], schema=kind)
+            kept.append(left.decode("utf-8", "ignore") if keep_text else None)
+        own = [pa.array(b.ids, pa.int64()), pa.array([len(x) for x in b.texts], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
+        also = t.take(pa.array(b.order, pa.int64()))
+        return pa.Table.from_arrays([*own, *(also.column(c) for c in carry)], [*RESULT, *carry])
 
     return run
 
 
-def repeats(documents: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null unless keep_text) for every row."""
+def repeats(documents: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for every row, and the columns in carry.
+
+    kept is the remaining text, without characters that a cut goes through; null unless keep_text."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    carry = [c for c in carry if c not in (*RESULT, "text", "blk")]
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     narrow = materialize(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n")), "texts")
     size = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK + 1)
     blk = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("blk")
-    blocks = docs.select("doc_id", "text", blk).repartition(n_blocks, "blk").persist()
+    blocks = docs.select("doc_id", "text", *carry, blk).repartition(n_blocks, "blk").persist()
 
     first = narrow.where(F.col("n") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("sha", "first")
     copies = narrow.where(F.col("n") >= WINDOW).join(first, "sha").where(F.col("doc_id") > F.col("first")).select("doc_id", blk)
@@ -449,7 +455,8 @@ def repeats(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     shared = both(copied, tell_anchors(n_blocks), NOTE).groupBy("bucket").applyInArrow(find_shared, NOTE).persist()
     known = copied.unionByName(shared)
     judged = both(known, tell_strings(n_blocks), NOTE).groupBy("bucket").applyInArrow(judge, NOTE)
-    return both(known.unionByName(judged), cut(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kind = _parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return both(known.unionByName(judged), cut(keep_text, carry), StructType([*kind.fields, *docs.select(*carry).schema.fields]))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
