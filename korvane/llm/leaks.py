@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
   seeds     Texts are lower-cased runs of letters and digits. Every n-gram of SEED words of an item is looked up in all
-            documents, and its documents are counted over the whole table. An n-gram is a seed of its item if no more
-            than COMMON of all documents hold it, or if it is among the RAREST least frequent of its item, so that each
-            item has seeds whatever its words.
+            documents, and its documents are counted over the whole table. An n-gram that documents hold is a seed of its
+            item if no more than COMMON of all documents hold it, or if no more than TIMES as many hold it as the one
+            that is in RAREST place among its item's, so that each item has seeds whatever its words, and a passage
+            that many documents have keeps all of its own.
   passages  A document's hits on an item, by diagonal (place in the document less place in the item), gather into
             passages: runs of hits that lie within the item's length of each other, with as much text around them as
             the item can reach.
@@ -33,6 +34,7 @@ from korvane.llm.common import discard, materialize, table
 SEED = 4
 COMMON = 1e-3
 RAREST = 8
+TIMES = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 FOUND = 0.5
 SENT = 1_000_000
@@ -120,8 +122,9 @@ def _leaks(spark, docs: DataFrame, items: list[tuple[int, str]], found: float) -
     held = {r["seed"]: r["n"] for r in hits.groupBy("seed").agg(F.countDistinct("doc_id").alias("n")).collect()}  # a number for each n-gram of the items
     rare: list[set[int]] = []
     for ws in lists:
-        own = sorted({number[g] for g in grams(ws)}, key=lambda s: (held.get(s, 0), s))
-        rare.append({s for k, s in enumerate(own) if k < RAREST or held.get(s, 0) <= COMMON * count})
+        own = sorted({s for g in grams(ws) if (s := number[g]) in held}, key=lambda s: (held[s], s))
+        most = max(COMMON * count, TIMES * held[own[min(RAREST, len(own)) - 1]]) if own else 0
+        rare.append({s for s in own if held[s] <= most})
     names = list(where)
     use = [(number[g], i, j) for g in names for i, j in where[g] if number[g] in rare[i]]
     seeds = spark.createDataFrame(use, "seed long, item int, place int")
