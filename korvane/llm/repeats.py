@@ -137,12 +137,13 @@ def extreme(a: np.ndarray, width: int, f) -> np.ndarray:
 class Block:
     """A block's rows, by doc_id and text so that a row has the same number each time, and their anchors."""
 
-    def __init__(self, t: pa.Table, copies: set[int]):
+    def __init__(self, t: pa.Table, copies: set[tuple[int, bytes]]):
         ids, texts = t.column("doc_id").to_pylist(), t.column("text").cast(pa.large_binary()).to_pylist()
         self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or b""))
         rows = [(ids[k], texts[k]) for k in self.order]
         self.ids, self.texts = [r[0] for r in rows], [r[1] or b"" for r in rows]
-        self.copy = [i in copies for i in self.ids]
+        known = {i for i, _ in copies}
+        self.copy = [i in known and (i, hashlib.sha256(x).digest()) in copies for i, x in zip(self.ids, self.texts, strict=True)]
         self.row, self.pos, self.hash, own, at = [], [], [], [], []
         live = [k for k, (i, x) in enumerate(rows) if i is not None and x and len(x) >= WINDOW and not self.copy[k]]
         self.start = np.full(len(rows), -1, np.int64)
@@ -243,7 +244,7 @@ def parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def block_of(t: pa.Table, got: dict) -> Block:
-    return Block(t, {i for r in got.get(COPIES, []) for i in np.frombuffer(r["a"], np.int64).tolist()})
+    return Block(t, {(i, r["b"][32 * k : 32 * k + 32]) for r in got.get(COPIES, []) for k, i in enumerate(np.frombuffer(r["a"], np.int64).tolist())})
 
 
 def tell_anchors(n_buckets: int):
@@ -441,14 +442,14 @@ def repeats(documents: DataFrame, keep_text: bool = True, carry: tuple[str, ...]
     narrow = materialize(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n")), "texts")
     size = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK + 1)
-    blk = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("blk")
+    blk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n_blocks)).alias("blk")  # rows without an id are dealt by their texts
     blocks = docs.select("doc_id", "text", *carry, blk).repartition(n_blocks, "blk").persist()
 
     first = narrow.where(F.col("n") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("sha", "first")
-    copies = narrow.where(F.col("n") >= WINDOW).join(first, "sha").where(F.col("doc_id") > F.col("first")).select("doc_id", blk)
+    copies = narrow.where(F.col("n") >= WINDOW).join(first, "sha").where(F.col("doc_id") > F.col("first")).select("doc_id", F.unhex("sha").alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("blk"))
 
     def pack(t: pa.Table) -> pa.Table:
-        return notes([(t.column("blk")[0].as_py(), COPIES, 0, t.column("doc_id").to_numpy().astype(np.int64).tobytes(), None, None, None)])
+        return notes([(t.column("blk")[0].as_py(), COPIES, 0, t.column("doc_id").to_numpy().astype(np.int64).tobytes(), b"".join(t.column("sha").to_pylist()), None, None)])
 
     copied = copies.groupBy("blk").applyInArrow(pack, NOTE).persist()
     both = lambda df, f, kind: blocks.groupBy("blk").cogroup(df.groupBy("blk")).applyInArrow(f, kind)
