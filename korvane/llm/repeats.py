@@ -38,6 +38,7 @@ WINDOW = 50
 ANCHOR = 16
 SPAN = WINDOW - ANCHOR  # 34: bytes that a string may have before its anchor, or after it
 BLOCK = 4 << 20
+WORK = 1 << 20  # bytes of text that have work arrays at one time
 SHALLOW = 24
 HOT = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +157,7 @@ class Block:
         first = 0
         while first < len(live):  # slices of rows bound the work arrays
             last, n = first, 0
-            while last < len(live) and (n == 0 or n + len(self.texts[live[last]]) <= BLOCK):
+            while last < len(live) and (n == 0 or n + len(self.texts[live[last]]) <= WORK):
                 n += len(self.texts[live[last]])
                 last += 1
             base = self.start[live[first]]
@@ -198,13 +199,11 @@ class Block:
         row = np.repeat(self.row[k], SPAN + 1)
         ok = (start >= 0) & (start + WINDOW <= sizes[row])
         at = np.unique((self.start[row] + start)[ok])
-        j = self.data[at[:, None] + np.arange(WINDOW)]
-        hs = []
-        for which in (0, 1):
-            x = np.zeros(len(at), np.uint64)
-            for c in range(WINDOW):
-                x = x * BASE + BYTES[which][j[:, c]]
-            hs.append(mix(x))
+        hs = [np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)]
+        for a in range(0, len(self.data), WORK):
+            low, high = np.searchsorted(at, [a, a + WORK])
+            for which in (0, 1) if high > low else ():
+                hs[which][low:high] = rolled(self.data[a : a + WORK + WINDOW - 1], WINDOW, which)[at[low:high] - a]
         rows = np.flatnonzero(self.start >= 0)
         rows = rows[np.argsort(self.start[rows])]
         row = rows[np.searchsorted(self.start[rows], at, "right") - 1] if len(at) else np.zeros(0, np.int64)
@@ -231,7 +230,8 @@ def read_notes(t: pa.Table) -> dict[int, list[dict]]:
 
 
 def buckets(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Anchors have the least hashes about them, so their hashes are mixed again before they are dealt out."""
+    return ((mix(h ^ BASE) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -255,7 +255,10 @@ def tell_anchors(n_buckets: int):
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         docs = np.add.reduceat((new | np.r_[True, row[1:] != row[:-1]]).astype(np.int64), np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64)
         keys, blk = h[new], t.column("blk")[0].as_py() if t.num_rows else -1
-        return notes([(blk, SHARED, k, keys[s].tobytes(), np.minimum(docs[s], 65535).astype("<u2").tobytes(), None, None) for k, s in parts(buckets(keys, n_buckets))])
+        to = buckets(keys, n_buckets)
+        order = np.argsort(to, kind="stable")
+        to, keys, docs = to[order], keys[order], docs[order]
+        return notes([(blk, SHARED, k, keys[s].tobytes(), np.minimum(docs[s], 65535).astype("<u2").tobytes(), None, None) for k, s in parts(to)])
 
     return run
 
@@ -294,7 +297,10 @@ def tell_strings(n_buckets: int):
         b, blk, out = block_of(t, got), t.column("blk")[0].as_py() if t.num_rows else -1, []
         near, hot = shared_of(b, got)
         near = near[np.argsort(b.hash[near], kind="stable")]
-        for k, s in parts(buckets(b.hash[near], n_buckets)):
+        to = buckets(b.hash[near], n_buckets)
+        order = np.argsort(to, kind="stable")
+        near, to = near[order], to[order]
+        for k, s in parts(to):
             right, left, rv, lv = b.around(near[s])
             out.append((blk, NEAR, k, np.concatenate([right, left], 1).tobytes(), np.stack([rv, lv], 1).astype(np.uint8).tobytes(), b.doc[b.row[near[s]]].tobytes(), np.stack([b.row[near[s]], b.pos[near[s]]], 1).astype("<u4").tobytes()))
         row, _, h1, h2 = b.strings(hot)
@@ -304,7 +310,10 @@ def tell_strings(n_buckets: int):
         if len(h1):
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             h1, h2, doc = h1[new], h2[new], doc[new]
-        out += [(blk, FAR, n_buckets + k, h1[s].tobytes(), h2[s].tobytes(), doc[s].tobytes(), None) for k, s in parts(buckets(h1, n_buckets))]
+        to = buckets(h1, n_buckets)
+        order = np.argsort(to, kind="stable")
+        to, h1, h2, doc = to[order], h1[order], h2[order], doc[order]
+        out += [(blk, FAR, n_buckets + k, h1[s].tobytes(), h2[s].tobytes(), doc[s].tobytes(), None) for k, s in parts(to)]
         return notes(out)
 
     return run
