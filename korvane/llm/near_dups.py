@@ -8,8 +8,10 @@ words, or its whole sequence if it has fewer. Two texts are linked if 100 * |int
             meet in none with probability below 2 * (1 - s ** DEEP) ** HALVES: 1.1e-4 at 0.75, 5e-6 at 0.8.
   classes   Equal sets (128-bit fingerprint) count as one node, that of the smallest doc_id.
   tables    Half keys that only one node has cannot pair; of the others each node forms its products.
-  stars     In HALVES of the tables each node is paired with the table's first node; each node's likeliest pair is
-            verified on the full sets. This joins big groups with as many pairs as they have members.
+  stars     In HALVES of the tables each node is paired with one node of the table; its likeliest pair is verified on
+            the full sets. The first round takes the table's first node, each later one another node of the table's
+            largest component, for the nodes that are not in it yet. This joins big groups with as many pairs a round
+            as they have members, also where their copies are nearer to the original than to each other.
   rest      In every table, nodes of different components so far are paired: members outside the table's largest
             component with all that are in another one. These pairs are verified too, so no link between components is
             lost, and no group is expanded into all its pairs.
@@ -39,6 +41,8 @@ WORDS = 5
 HALVES = 18
 DEEP = 3
 HASHES = 2 * HALVES * DEEP
+#: Rounds of stars; they stop earlier when a round links nothing. What they leave is the rest's.
+ROUNDS = 5
 #: Below so many ids, a semi-join of the texts sends the ids out; above, it shuffles.
 SMALL = 500_000
 
@@ -183,6 +187,20 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
 
 
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component of their doc_id so far."""
+    return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of found and links: the links join components, which are then renamed."""
+    own = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = materialize(components(between), "components")
+    known = found.join(above.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return materialize(known.unionByName(above.join(found.select("node"), "node", "left_anti").select("node", "component")), "components")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     sketched = materialize(sketch(documents), "sketches")
@@ -191,35 +209,45 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     member = known.select("doc_id", "f1", "f2").join(classes.where("times > 1"), ["f1", "f2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = materialize(known.join(classes.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", "n_shingles", "keys", "signature"), "nodes")
 
-    halves = nodes.select("doc_id", F.posexplode("keys").alias("half", "key"))
+    halves = nodes.select("doc_id", "n_shingles", F.posexplode("keys").alias("half", "key"))
     paired = halves.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    shared = halves.join(paired, "key").groupBy("doc_id").agg(F.collect_list(F.struct("half", "key")).alias("h"))  # at most 2 * HALVES each
+    shared = halves.join(paired, "key").groupBy("doc_id", "n_shingles").agg(F.collect_list(F.struct("half", "key")).alias("h"))  # at most 2 * HALVES each
     left = F.filter("h", lambda x: x.half < HALVES)
     right = F.filter("h", lambda x: x.half >= HALVES)
-    both = shared.select("doc_id", left.alias("l"), right.alias("r")).where((F.size("l") > 0) & (F.size("r") > 0))
-    product = both.select("doc_id", F.explode("l").alias("l"), "r").select("doc_id", "l", F.explode("r").alias("r"))
-    rows = product.select("doc_id", F.xxhash64("l.key", "r.key").alias("bucket"), (F.col("r.half") - F.col("l.half") == HALVES).alias("straight"))
+    both = shared.select("doc_id", F.col("n_shingles").alias("n"), left.alias("l"), right.alias("r")).where((F.size("l") > 0) & (F.size("r") > 0))
+    product = both.select("doc_id", "n", F.explode("l").alias("l"), "r").select("doc_id", "n", "l", F.explode("r").alias("r"))
+    rows = product.select("doc_id", "n", F.xxhash64("l.key", "r.key").alias("bucket"), (F.col("r.half") - F.col("l.half") == HALVES).alias("straight"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1").select("bucket")
     rows = materialize(rows.join(full, "bucket"), "tables")
 
-    straight = rows.where("straight")
-    firsts = straight.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-    stars = straight.select(F.col("doc_id").alias("b"), "bucket").join(firsts, "bucket").where("a <> b").select("a", "b").distinct()
-    best = likely(stars, nodes).groupBy("b").agg(F.max_by("a", F.struct("share", F.col("a"))).alias("a"))
-    links = materialize(member.unionByName(verified(materialize(best.select("a", "b"), "stars"), documents)), "links")
-    found = materialize(components(links), "components")
-
-    placed = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = materialize(placed, "placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").select("bucket", "largest")
+    straight = rows.where("straight").select("bucket", "doc_id")
+    found = materialize(components(member), "components")
+    for step in range(ROUNDS):
+        placed = _placed(straight, found)
+        if step == 0:
+            centres = placed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("c"))
+        else:
+            turn = F.struct(F.xxhash64("doc_id", F.lit(step)), "doc_id")
+            sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min_by("doc_id", turn).alias("doc_id"))
+            centres = sizes.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "component"), F.struct("size", "component")).alias("c"))
+        stars = placed.join(centres, "bucket").where("component <> c.component").select(F.col("doc_id").alias("b"), F.col("c.doc_id").alias("a")).distinct()
+        best = likely(stars, nodes).groupBy("b").agg(F.max_by("a", F.struct("share", F.col("a"))).alias("a"))
+        links = materialize(verified(materialize(best.select("a", "b"), "stars"), documents), "links")
+        if not links.take(1):
+            break
+        found = _joined(found, links)
+
+    placed = materialize(_placed(rows.select("bucket", "doc_id", "n"), found), "placed")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("parts > 1").select("bucket", "largest")
     open_ = placed.join(mixed, "bucket")
-    outside = open_.where("component <> largest").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    inside = placed.select(F.col("bucket"), F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    rest = outside.join(inside, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    outside = open_.where("component <> largest").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    inside = placed.select(F.col("bucket"), F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    alike = "cx <> cy AND 4 * nx >= 3 * ny AND 4 * ny >= 3 * nx"
+    rest = outside.join(inside, "bucket").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(verified(materialize(likely(rest, nodes).select("a", "b"), "rest"), documents), "links")
     if more.take(1):
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        found = _joined(found, more)
     for t in (rows, placed):
         discard(t)
     out = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
