@@ -13,8 +13,9 @@ words, or its whole sequence if it has fewer. Two texts are linked if 100 * |int
             largest component, for the nodes that are not in it yet. This joins big groups with as many pairs a round
             as they have members, also where their copies are nearer to the original than to each other.
   rest      In every table, nodes of different components so far are paired: members outside the table's largest
-            component with all that are in another one. These pairs are verified too, so no link between components is
-            lost, and no group is expanded into all its pairs.
+            component with all that are in another one. A pair's first table is that of its first equal key in either
+            collection; it is paired there only, however many tables it shares. These pairs are verified too, so no link
+            between components is lost, and no group is expanded into all its pairs.
 
 Before sets are fetched, pairs must pass tests that no linked pair fails: sizes within 3:4, and 108 minhashes agreeing
 in at least half (a linked pair fails that with probability 1e-9).
@@ -216,11 +217,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     right = F.filter("h", lambda x: x.half >= HALVES)
     both = shared.select("doc_id", F.col("n_shingles").alias("n"), left.alias("l"), right.alias("r")).where((F.size("l") > 0) & (F.size("r") > 0))
     product = both.select("doc_id", "n", F.explode("l").alias("l"), "r").select("doc_id", "n", "l", F.explode("r").alias("r"))
-    rows = product.select("doc_id", "n", F.xxhash64("l.key", "r.key").alias("bucket"), (F.col("r.half") - F.col("l.half") == HALVES).alias("straight"))
+    rows = product.select("doc_id", "n", F.xxhash64("l.key", "r.key").alias("bucket"), F.col("l.half").cast("byte").alias("lh"), (F.col("r.half") - HALVES).cast("byte").alias("rh"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1").select("bucket")
     rows = materialize(rows.join(full, "bucket"), "tables")
 
-    straight = rows.where("straight").select("bucket", "doc_id")
+    straight = rows.where("lh = rh").select("bucket", "doc_id")
     found = materialize(components(member), "components")
     for step in range(ROUNDS):
         placed = _placed(straight, found)
@@ -237,18 +238,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             break
         found = _joined(found, links)
 
-    placed = materialize(_placed(rows.select("bucket", "doc_id", "n"), found), "placed")
+    placed = materialize(_placed(rows, found), "placed")
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("parts > 1").select("bucket", "largest")
-    open_ = placed.join(mixed, "bucket")
-    outside = open_.where("component <> largest").select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    inside = placed.select(F.col("bucket"), F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    alike = "cx <> cy AND 4 * nx >= 3 * ny AND 4 * ny >= 3 * nx"
-    rest = outside.join(inside, "bucket").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    short = lambda at: F.transform(F.slice("keys", at, HALVES), lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))  # noqa: E731  31 bits: two keys are taken for equal once in 2e9
+    codes = nodes.select("doc_id", short(1).alias("ls"), short(HALVES + 1).alias("rs"))
+    open_ = materialize(placed.join(mixed, "bucket").join(codes, "doc_id"), "open")
+    side = lambda x: open_.select("bucket", *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "component", "n", "ls", "rs")), *(["largest", "lh", "rh"] if x == "x" else []))
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p == q), True)
+    alike = F.expr("componentx <> largest AND componentx <> componenty AND (componenty = largest OR doc_idx < doc_idy) AND 4 * nx >= 3 * ny AND 4 * ny >= 3 * nx")
+    once = (same("lsx", "lsy") == F.col("lh") + 1) & (same("rsx", "rsy") == F.col("rh") + 1)
+    x, y = side("x").alias("x"), side("y").alias("y")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & alike & once).select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b"))
     more = materialize(verified(materialize(likely(rest, nodes).select("a", "b"), "rest"), documents), "links")
     if more.take(1):
         found = _joined(found, more)
-    for t in (rows, placed):
+    for t in (rows, placed, open_):
         discard(t)
     out = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
