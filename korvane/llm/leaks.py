@@ -1,13 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-  seeds     Texts are lower-cased runs of letters and digits. Every n-gram of SEED words of an item is looked up in all
-            documents, and its documents are counted over the whole table. An n-gram that documents hold is a seed of its
-            item if no more than COMMON of all documents hold it, or if no more than TIMES as many hold it as the one
-            that is in RAREST place among its item's, so that each item has seeds whatever its words, and a passage
-            that many documents have keeps all of its own.
+  seeds     Texts are lower-cased runs of letters and digits. Every n-gram of SEED words of an item is a seed, however
+            many documents hold it: each document is searched by itself, so a popular passage hides no other.
   passages  A document's hits on an item, by diagonal (place in the document less place in the item), gather into
             passages: runs of hits that lie within the item's length of each other, with as much text around them as
-            the item can reach.
+            an alignment that is found can reach. A passage that has too few of the item's words, repeats counted, to
+            reach `found` whatever their order is not aligned.
   score     Passage and item are aligned by Smith-Waterman over words (MATCH, MISMATCH, GAP); the score over that of
             the whole item matched is `similarity`, from 0 to 1. FOUND and more is a leak.
 
@@ -22,6 +20,7 @@ counts; rows that repeat a doc_id are searched each, the best counts; other colu
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvane.llm.common import discard, materialize, table
+from korvane.llm.common import table
 
 SEED = 4
-COMMON = 1e-3
-RAREST = 8
-TIMES = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 FOUND = 0.5
 SENT = 1_000_000
@@ -98,72 +94,53 @@ def _leaks(spark, docs: DataFrame, items: list[tuple[int, str]], found: float) -
     for i, ws in enumerate(lists):
         for j, g in enumerate(grams(ws)):
             where.setdefault(g, []).append((i, j))
-    number = {g: k for k, g in enumerate(where)}
     short = sorted({len(ws) for ws in lists if 0 < len(ws) < SEED})
-    sent = spark.sparkContext.broadcast((number, short))
-
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, short = sent.value
-        get = number.get
-        for b in batches:
-            ids, at, seed = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = words(text)
-                found_ = [(i, k) for i, g in enumerate(map(" ".join, zip(*(ws[j:] for j in range(SEED)), strict=False))) if (k := get(g)) is not None]
-                for n in short:
-                    found_ += [(i, k) for i in range(len(ws) - n + 1) if (k := get(" ".join(ws[i : i + n]))) is not None]
-                ids += [doc] * len(found_)
-                at += [i for i, _ in found_]
-                seed += [k for _, k in found_]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(seed, pa.int64())], ["doc_id", "at", "seed"])
-
-    hits = materialize(docs.mapInArrow(hit, "doc_id long, at long, seed long"), "hits")
-    count = docs.count()
-    held = {r["seed"]: r["n"] for r in hits.groupBy("seed").agg(F.countDistinct("doc_id").alias("n")).collect()}  # a number for each n-gram of the items
-    rare: list[set[int]] = []
-    for ws in lists:
-        own = sorted({s for g in grams(ws) if (s := number[g]) in held}, key=lambda s: (held[s], s))
-        most = max(COMMON * count, TIMES * held[own[min(RAREST, len(own)) - 1]]) if own else 0
-        rare.append({s for s in own if held[s] <= most})
-    names = list(where)
-    use = [(number[g], i, j) for g in names for i, j in where[g] if number[g] in rare[i]]
-    seeds = spark.createDataFrame(use, "seed long, item int, place int")
-    # windows of a document: from first to last hit of a run that an alignment with the item could join
-    spans = hits.join(F.broadcast(seeds), "seed").groupBy("doc_id", "item").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
-    discard_later = hits
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in lists]
-    models = spark.sparkContext.broadcast((vocabulary, coded, [i for i, _ in items]))
+    bags = [Counter(c.tolist()) for c in coded]
+    sent = spark.sparkContext.broadcast((where, short, vocabulary, coded, bags, [i for i, _ in items]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, coded, ids = models.value
+        where, short, vocabulary, coded, bags, ids = sent.value
+        get = where.get
         for b in batches:
             out = []
-            for doc, text, by_item in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("by_item").to_pylist(), strict=True):
-                ws = np.array([vocabulary.get(w, -1) for w in words(text)], np.int64)
-                for g in by_item:
-                    item = coded[g["item"]]
-                    m, reach = len(item), 2 * len(item)
-                    at = sorted({h["at"] - h["place"] for h in g["hits"]})
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ws = words(text)
+                met = [(i, got) for i, g in enumerate(map(" ".join, zip(*(ws[j:] for j in range(SEED)), strict=False))) if (got := get(g)) is not None]
+                for n in short:
+                    met += [(i, got) for i in range(len(ws) - n + 1) if (got := get(" ".join(ws[i : i + n]))) is not None]
+                if not met:
+                    continue
+                by_item: dict[int, Counter] = {}  # hits by diagonal
+                for i, got in met:
+                    for k, j in got:
+                        by_item.setdefault(k, Counter())[i - j] += 1
+                numbers = np.array([vocabulary.get(w, -1) for w in ws], np.int64)
+                for k, hits in by_item.items():
+                    item, bag, m = coded[k], bags[k], len(coded[k])
+                    at = sorted(hits)
                     runs = [[at[0], at[0]]]
                     for x in at[1:]:
                         if x - runs[-1][1] > m:
                             runs.append([x, x])
                         runs[-1][1] = x
                     best = (0, 0, 0)
+                    reach = int(2 * (1 - found) * m) + 1  # gaps that leave `found` of the score
                     for a, z in runs:
-                        low, high = max(0, a - m // 2), min(len(ws), z + m + reach // 4)
-                        s, first, last = align(item, ws[low:high])
+                        low, high = max(0, a - reach), min(len(ws), z + m + reach)
+                        has = Counter(numbers[low:high].tolist())
+                        if sum(min(n, has[w]) for w, n in bag.items()) < found * m:
+                            continue
+                        s, first, last = align(item, numbers[low:high])
                         if s > best[0]:
                             best = (s, low + first, low + last)
-                    if m and best[0] >= found * MATCH * m:
-                        out.append((doc, ids[g["item"]], best[0] / (MATCH * m), len(g["hits"]), best[1], best[2] - 1))
+                    if best[0] >= found * MATCH * m:
+                        out.append((doc, ids[k], best[0] / (MATCH * m), hits.total(), best[1], best[2] - 1))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "n_hits", "first_word", "last_word"])
 
-    wanted = materialize(spans.groupBy("doc_id").agg(F.collect_list(F.struct("item", "hits")).alias("by_item")), "wanted")
-    discard(discard_later)
-    return docs.join(wanted, "doc_id").mapInArrow(judge, "doc_id long, item_id long, similarity double, n_hits long, first_word long, last_word long")
+    return docs.mapInArrow(judge, "doc_id long, item_id long, similarity double, n_hits long, first_word long, last_word long")
 
 
 def op7_leaks(spark, sf_dir: str) -> DataFrame:

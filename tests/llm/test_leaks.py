@@ -78,3 +78,17 @@ def test_no_rows(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     assert L.leaks(docs.limit(0), items).collect() == []
     assert L.leaks(docs, items.limit(0)).collect() == []
+
+
+def test_hot_edited_group_beside_one_full_copy(spark):
+    """A large group of edited copies is found whole, though one document alone holds the item in full."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(2000)]
+    item = [rng.choice(vocabulary) for _ in range(36)]
+    edited = list(item)
+    for at in (8, 17, 26):
+        edited[at] = f"changed{at}"
+    docs = [(i, " ".join([rng.choice(vocabulary) for _ in range(40)] + (edited if i % 3 == 0 else item if i == 1 else []) + [rng.choice(vocabulary) for _ in range(40)])) for i in range(600)]
+    rows = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == {1} | set(range(0, 600, 3))
+    assert all(r["similarity"] == (1 if r["doc_id"] == 1 else (2 * 33 - 3) / 72) for r in rows)
