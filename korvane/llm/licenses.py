@@ -4,8 +4,12 @@ A text's units are its lines, and the runs of neighbouring lines that all share
 templates' words, so that a header over several lines is one unit. Terms are lower-cased runs of letters and digits;
 a term's weight is its count times log((1 + texts) / (1 + texts that hold it)) + 1, counted over the whole table; a
 term that no template has weighs as if one text held it. A unit takes the template with the greatest cosine, at ALIKE
-or more (ties: the earlier template), a text its best unit. A text is a licence file if its matching units hold half of
-its words or more, otherwise what it has is a header.
+or more (ties: the earlier template), a text its best unit. The whole text is compared with full licence texts too: one
+is matched if the text holds HELD or more of its distinct runs of SHINGLE words, the one with most runs first, and
+runs that it accounts for do not count for the next. A full licence text goes before units (`similarity` is the share of
+its runs), and units inside it count for nothing of their own. A text is a licence file if its matching units and full
+licence texts hold half of its words or more, otherwise what it has is a header. `own_licenses` lists all licences that
+a text matches, the best first.
 
 A path inherits, if it has no licence of its own, from the nearest directory above it, its own first, that holds a
 licence file; of several the most alike decides, then the smaller path. Only distinct directories are paired with
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files as resources
 from math import log, sqrt
 
 import pyarrow as pa
@@ -31,6 +36,8 @@ from korvane.llm.common import materialize, table
 
 ALIKE = 0.6
 RUN = 0.3
+HELD = 0.8
+SHINGLE = 5
 WORD = re.compile(r"[^\W_]+")
 
 # Short public licence statements, by SPDX identifier.
@@ -58,6 +65,22 @@ TEMPLATES = [
 ]
 
 
+#: Licences with a full text in license_texts, by SPDX identifier.
+FULL = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """The full texts of FULL, and two made from them: BSD-2-Clause is BSD-3-Clause without its third condition, AGPL-3.0 is GPL-3.0 by its other name."""
+    out = {k: (resources("korvane.llm") / "license_texts" / f"{k}.txt").read_text("utf-8") for k in FULL}
+    out["BSD-2-Clause"] = re.sub(r"(?s)3\. Neither.*?permission\.", "", out["BSD-3-Clause"])
+    out["AGPL-3.0"] = re.sub(r"(?i)(gnu\s+)(general\s+public\s+license)", r"\1affero \2", out["GPL-3.0"])
+    return list(out.items())
+
+
+def shingles(ws: list[str]) -> list[str]:
+    return [" ".join(x) for x in zip(*(ws[i:] for i in range(SHINGLE)), strict=False)]
+
+
 def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -65,7 +88,10 @@ def terms(text: str) -> list[str]:
 class Scanner:
     """Templates with weights from the whole table's counts."""
 
-    def __init__(self, templates: list[tuple[str, str]], held: dict[str, int], texts: int):
+    def __init__(self, templates: list[tuple[str, str]], held: dict[str, int], texts: int, full: list[tuple[str, str]]):
+        self.full_ids = [k for k, _ in full]
+        self.full_words = [set(terms(t)) for _, t in full]
+        self.full_runs = [set(shingles(terms(t))) for _, t in full]
         self.ids = [k for k, _ in templates]
         counts = [Counter(terms(t)) for _, t in templates]
         weight = lambda n: log((1 + texts) / (1 + n)) + 1
@@ -92,41 +118,77 @@ class Scanner:
                 best = (c, i)
         return best
 
-    def text(self, text: str | None) -> tuple[str | None, float, bool]:
-        best, covered, total, run = (0.0, -1), 0, 0, []
+    def full(self, ws: list[str]) -> tuple[list[tuple[float, str]], bytearray]:
+        """Share and id of the full licence texts that ws holds, and the words of ws that they cover."""
+        mark = bytearray(len(ws))
+        may = [i for i, g in enumerate(self.full_runs) if len(ws) - SHINGLE + 1 >= HELD * len(g)]
+        if may:
+            bag = set(ws)  # of a missing words each ends another run, but for those in the first run
+            may = [i for i in may if len(self.full_words[i] - bag) <= (1 - HELD) * len(self.full_runs[i]) + SHINGLE - 1]
+        if not may:
+            return [], mark
+        runs = shingles(ws)
+        left, out = set(runs), []
+        while True:
+            n, i = max(((len(left & self.full_runs[i]), -i) for i in may if len(left & self.full_runs[i]) >= HELD * len(self.full_runs[i])), default=(0, 0))
+            if not n:
+                return out, mark
+            out.append((n / len(self.full_runs[-i]), self.full_ids[-i]))
+            got = left & self.full_runs[-i]
+            left -= got
+            for at, r in enumerate(runs):
+                if r in got:
+                    mark[at : at + SHINGLE] = b"\1" * SHINGLE
+
+    def text(self, text: str | None) -> tuple[str | None, float, bool, list[str]]:
+        lines = [WORD.findall(line) for line in (text or "").lower().split("\n")]
+        words = [w for ws in lines for w in ws]
+        full, inside = self.full(words)
+        covered = bytearray(inside)
+        best, all_, run = (0.0, -1), [], []
         known_term = self.weight.__contains__
 
         def close() -> None:
-            nonlocal best, covered
-            units = [*run, sum(run, Counter())] if len(run) > 1 else run
-            found, hit = [], 0
-            for u in units:
+            nonlocal best
+            units = [*run, (sum((u for u, _, _ in run), Counter()), run[0][1], run[-1][2])] if len(run) > 1 else run
+            found = []
+            for u, a, z in units:
                 known, most = self.squares(u)
                 if known >= ALIKE**2 * most:  # no cosine exceeds this share's root
                     got = self.unit(u, most)
                     if got[0] >= ALIKE - 1e-12:
-                        found.append(got)
-                        hit = max(hit, u.total()) if len(run) > 1 and u is units[-1] else hit + u.total()
-            covered += min(hit, sum(u.total() for u in run))
-            for got in found:
+                        if 2 * sum(inside[a:z]) <= z - a:
+                            found.append((got, (a, z) == (run[0][1], run[-1][2])))
+                        covered[a:z] = b"\1" * (z - a)
+            for got, _ in found:
                 if got[0] > best[0] + 1e-12:
                     best = got
+            if found:
+                top, whole = max(found, key=lambda f: (f[0][0], f[1]))
+                all_.extend([top] if whole else [got for got, _ in found])
             run.clear()
 
-        for line in (text or "").lower().split("\n"):
-            ws = WORD.findall(line)
-            total += len(ws)
+        at = 0
+        for ws in lines:
             n = sum(map(known_term, ws))
             if n and (known := self.squares(c := Counter(ws)))[0] >= RUN * known[1]:
-                run.append(c)
-            elif ws:
+                run.append((c, at, at + len(ws)))
+            elif ws and run:
                 close()
-        close()
-        return (self.ids[best[1]] if best[1] >= 0 else None, best[0], best[1] >= 0 and 2 * covered >= total)
+            at += len(ws)
+        if run:
+            close()
+        named = [self.ids[i] for _, i in sorted(all_, key=lambda g: -g[0])]
+        if full:  # what holds a licence does not reserve all rights
+            listed = list(dict.fromkeys([k for _, k in full] + [k for k in named if k != "proprietary"]))
+            return full[0][1], full[0][0], 2 * sum(covered) >= len(words), listed
+        if best[1] < 0:
+            return None, 0.0, False, []
+        return self.ids[best[1]], best[0], 2 * sum(covered) >= len(words), list(dict.fromkeys([self.ids[best[1]], *named]))
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """All columns of files but text, and own_license, similarity, license_file. Two passes over the texts, no shuffle of them."""
+    """All columns of files but text, and own_license, own_licenses, similarity, license_file. Two passes over the texts, no shuffle of them."""
     spark = files.sparkSession
     vocabulary = {w for _, t in templates for w in terms(t)}
 
@@ -142,22 +204,23 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]]) -> DataFram
     rows = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the templates
     held = {r["term"]: r["n"] for r in rows}
     texts = held.pop("", 0)
-    at = [c for c in files.columns if c not in ("text", "own_license", "similarity", "license_file")]
+    at = [c for c in files.columns if c not in ("text", "own_license", "own_licenses", "similarity", "license_file")]
+    sent = spark.sparkContext.broadcast(full_texts())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(templates, held, texts)
+        s = Scanner(templates, held, texts, sent.value)
         for b in batches:
             got = [s.text(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in at), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] if g[0] else None for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], [*at, "own_license", "similarity", "license_file"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in at), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] if g[0] else None for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_()), pa.array([g[3] for g in got], pa.list_(pa.string()))], [*at, "own_license", "similarity", "license_file", "own_licenses"])
 
     kind = StructType([*files.select(*at).schema.fields])
-    for f in _parse_datatype_string("own_license string, similarity double, license_file boolean").fields:
+    for f in _parse_datatype_string("own_license string, similarity double, license_file boolean, own_licenses array<string>").fields:
         kind.add(f)
     return files.select(*at, "text").mapInArrow(scan, kind)
 
 
 def licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """files (path, text, ...) without text, with own_license, similarity, license_file, license and inherited_from (a directory)."""
+    """files (path, text, ...) without text, with own_license, own_licenses, similarity, license_file, license and inherited_from (a directory)."""
     clean = F.regexp_replace(F.coalesce("path", F.lit("")), "/+", "/")
     own = own_licenses(files, templates).withColumn("directory", F.regexp_replace(F.regexp_replace(clean, "[^/]*$", ""), "/$", ""))
     own = materialize(own, "licenses")
@@ -177,4 +240,4 @@ def op10_licenses(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     files = docs.select("doc_id", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text")
-    return licenses(files).select("doc_id", "path", "own_license", "similarity", "license_file", "license", "inherited_from")
+    return licenses(files).select("doc_id", "path", "own_license", "own_licenses", "similarity", "license_file", "license", "inherited_from")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from korvane.llm.common import table
-from korvane.llm.licenses import licenses, op10_licenses
+from korvane.llm.licenses import full_texts, licenses, op10_licenses
 
 APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
 MIT = "Released under the MIT License."
@@ -42,3 +42,22 @@ def test_every_document_is_answered(spark, sf):
         for name, line in (("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.")):
             if r["own_license"] is None:
                 assert line not in (texts[r["doc_id"]] or ""), name
+
+
+def test_full_texts_are_licence_files_and_inherited(spark):
+    full = dict(full_texts())
+    named = {k: f"Copyright (c) 2020 Some One. All rights reserved.\n\n{t}" for k, t in full.items()}
+    flowed = {k: "# " + " ".join(t.split()) for k, t in full.items()}
+    rows = [(f"{d}/{k}/LICENSE", t) for d, texts in (("named", named), ("flowed", flowed)) for k, t in texts.items()]
+    rows += [(f"named/{k}/src/x.py", CODE) for k in full] + [("both/LICENSE", f"{full['MIT']}\n\n{full['Apache-2.0']}"), ("h/x.py", "\n".join([full["MIT"], *[CODE] * 5]))]
+    rows += [("edited/LICENSE", full["BSD-3-Clause"].replace("University", "Example Company, Inc.").replace("REGENTS", "COPYRIGHT HOLDERS"))]
+    got = of(spark, rows)
+    for k in full:
+        for d in ("named", "flowed"):
+            r = got[f"{d}/{k}/LICENSE"]
+            assert (r["own_license"], r["license_file"], r["own_licenses"]) == (k, True, [k])
+        below = got[f"named/{k}/src/x.py"]
+        assert (below["own_license"], below["license"], below["inherited_from"]) == (None, k, f"named/{k}")
+    assert got["both/LICENSE"]["license_file"] and set(got["both/LICENSE"]["own_licenses"]) == {"MIT", "Apache-2.0"}
+    assert got["h/x.py"]["own_license"] == "MIT" and not got["h/x.py"]["license_file"]
+    assert got["edited/LICENSE"]["own_license"] == "BSD-3-Clause" and got["edited/LICENSE"]["license_file"]
