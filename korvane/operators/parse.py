@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korvane.operators.filters import BOUNDS, normalize
 from korvane.operators.models import LanguageModel
 from korvane.sources.schemas import FILTERS, RECOMMENDATIONS
 
@@ -79,6 +80,17 @@ def recommendations_of(reply: Column) -> Column:
     return F.filter(cast, lambda r: r.product_id.isNotNull())
 
 
+def normalized(filters: Column, dialect: str = "strict") -> Column:
+    """JSON filter maps as normalize() reads them, as struct(FILTERS)."""
+
+    def one(text: str) -> tuple:
+        spec = normalize(json.loads(text), dialect)
+        value = lambda c: v if (v := getattr(spec, c)) is None or c not in BOUNDS else float(v)
+        return tuple(value(c) for c in FILTERS.names)
+
+    return F.udf(one, FILTERS)(filters)
+
+
 def parse_queries(queries: DataFrame, model: LanguageModel, dialect: str = "strict", max_tokens: int = 512) -> DataFrame:
     """queries (qid, query) with filters (JSON), semantic_query and error: one bad reply does not fail the others."""
 
@@ -90,8 +102,9 @@ def parse_queries(queries: DataFrame, model: LanguageModel, dialect: str = "stri
                     if not query or not query.strip():
                         raise ParseError("blank query")
                     filters, meaning = parse_filters(model.chat("parse", query, max_tokens), dialect)
+                    normalize(filters, dialect)  # a map that cannot be read is this query's error
                     rows.append((qid, query, json.dumps(filters, ensure_ascii=False), meaning, None))
-                except (ParseError, KeyError) as e:
+                except (ValueError, KeyError, OverflowError) as e:
                     rows.append((qid, query, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["qid", "query", "filters", "semantic_query", "error"])
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from korvane.operators import rerank as R
 from korvane.operators.filters import normalize
 from korvane.operators.models import Encoder, LanguageModel
-from korvane.operators.parse import parse_filters, parse_queries
+from korvane.operators.parse import normalized, parse_filters, parse_queries
 from korvane.operators.search import search as nearest
+from korvane.sources.schemas import FILTERS
 
 
 def checked(query: str, k: int) -> None:
@@ -51,8 +52,8 @@ def recommend_batch(products: DataFrame, embeddings: DataFrame, queries: DataFra
     from korvane.operators.search import search_batch
 
     parsed = parse_queries(queries, model, dialect)
-    named = parsed.where("error IS NULL").select("qid", "query", "semantic_query", F.from_json("filters", "gender string, season string, category string, price_max double").alias("f"))
-    asked = encode(named.select("qid", "query", "semantic_query", "f.gender", "f.season", "f.category", "f.price_max"), encoder, "semantic_query", "q")
-    hits = search_batch(products, embeddings, asked.select("qid", "q", "gender", "season", "category", "price_max"), k, deleted)
+    named = parsed.where("error IS NULL").select("qid", "query", "semantic_query", normalized(F.col("filters"), dialect).alias("f"))
+    asked = encode(named.select("qid", "query", "semantic_query", "f.*"), encoder, "semantic_query", "q")
+    hits = search_batch(products, embeddings, asked.select("qid", "q", *FILTERS.names), k, deleted)
     recs = R.rerank(hits, named.select("qid", "query"), model, dialect, strict)
     return R.envelope(parsed, hits, recs)
