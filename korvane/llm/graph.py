@@ -23,19 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node and component (its least reachable node) for every node with an edge. edges: a, b, both long.
+    """node and component (its least reachable node) for every node with an edge, as a written table. edges: a, b, both long.
 
     Each step is written to the shared folder, so lineage stays short and lost executors cost one step. A hot node's
     neighbours meet in joins that Spark can split and in minima that are formed before the shuffle."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
     for _ in range(most):
+        # settled: every edge leads from a node to a least one, which has no edge down, and each node has one
+        facts = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("up")).first()
+        if facts["n"] == facts["up"] and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").take(1):
+            out = materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            discard(e)
+            return out
         stepped = materialize(_star(e, True), "edges")
         discard(e)
         e = materialize(_star(stepped, False), "edges")
         discard(stepped)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == now:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = now
     raise RuntimeError(f"components have not settled in {most} rounds")

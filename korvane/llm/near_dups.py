@@ -6,23 +6,26 @@ words, or its whole sequence if it has fewer. Two texts are linked if 100 * |int
   sketch    Two collections of HALVES keys each, of DEEP minhashes a key, take 2 * HALVES * DEEP minhashes; a table's
             key pairs one of either, which gives HALVES * HALVES tables of 2 * DEEP minhashes. Two sets of similarity s
             meet in none with probability below 2 * (1 - s ** DEEP) ** HALVES: 1.1e-4 at 0.75, 5e-6 at 0.8.
+            With it comes an odd sketch of the set: the parities of its shingles in some 4 to 8 bits a shingle. The bits
+            in which two sketches differ tell the size of the sets' difference.
   classes   Equal sets (128-bit fingerprint) count as one node, that of the smallest doc_id.
-  tables    Half keys that only one node has cannot pair; of the others each node forms its products.
-  stars     In HALVES of the tables each node is paired with one node of the table; its likeliest pair is verified on
-            the full sets. The first round takes the table's first node, each later one another node of the table's
-            largest component, for the nodes that are not in it yet. This joins big groups with as many pairs a round
-            as they have members, also where their copies are nearer to the original than to each other.
-  rest      In every table, nodes of different components so far are paired: members outside the table's largest
-            component with all that are in another one. A pair's first table is that of its first equal key in either
-            collection; it is paired there only, however many tables it shares. These pairs are verified too, so no link
-            between components is lost, and no group is expanded into all its pairs.
-
-Before sets are fetched, pairs must pass tests that no linked pair fails: sizes within 3:4, and 108 minhashes agreeing
-in at least half (a linked pair fails that with probability 1e-9).
+  groups    Nodes that share a left half key are dealt together; the tables of that half are formed in the task. Of
+            groups with the same nodes one is kept, that of the least half. A group of more than GROUP nodes is dealt
+            in chunks.
+  trees     Within a chunk each node names, of the nodes that share a table with it and lie in another component, the
+            most alike one that passes the test below; of what its groups name, the best is verified on full sets. Links
+            join components; chunks are dealt anew each round. One pair a node and round joins big groups.
+  rest      Groups that still hold several components are searched whole, all chunks against all: every pair of nodes
+            that share a table, lie in different components and pass the test is verified on full sets. Only such pairs
+            leave a task, each from one group only, and no group is expanded into all its pairs.
+
+The test passes every linked pair but one in some 3 million: sizes within 3:4, and odd sketches that differ in no more
+bits than those of sets at similarity 0.75 do, give or take five standard deviations (Mitzenmacher et al., 2014).
 
 Defined cases: texts that are null, empty or without words have an empty set, are linked with nothing and are their
-own component; rows with a null doc_id are linked with nothing, with component_id null and kept true; rows that repeat
-a doc_id are one node; other columns are not read.
+own component; very long texts are taken whole, in Arrow batches bounded by bytes; rows with a null doc_id are linked
+with nothing, with component_id null and kept true; rows that repeat a doc_id are one node, linked by any of their
+texts; an empty table gives no rows; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,17 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvane.llm.common import byte_table, discard, materialize, mix, slices, table, text_bytes
+from korvane.llm.common import byte_table, discard, materialize, mix, release, sent, slices, table, text_bytes
 from korvane.llm.graph import components
 
 WORDS = 5
 HALVES = 18
 DEEP = 3
 HASHES = 2 * HALVES * DEEP
-#: Rounds of stars; they stop earlier when a round links nothing. What they leave is the rest's.
-ROUNDS = 5
-#: Below so many ids, a semi-join of the texts sends the ids out; above, it shuffles.
-SMALL = 500_000
+#: Rounds of trees; they stop earlier when a round links nothing. What they leave is the rest's.
+ROUNDS = 4
+#: Nodes of a group that are compared in one piece.
+GROUP = 2048
+#: Pairs that are compared at one time.
+PAIRS = 1 << 16
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -114,78 +119,196 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[new], h[new]
 
 
+def odd_sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's hashes, dealt to a power of 2 bits: 4 to 8 a member, 256 at the least."""
+    m = max(256, 1 << (4 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The test: are odd sketches of m bits that differ in so many those of sets of na and nb members that may be linked?"""
+    d = np.floor((na + nb) / 7)  # the greatest difference of linked sets
+    mean = m / 2 * -np.expm1(d * np.log1p(-2 / m))
+    spread = np.maximum(m / 4 * -np.expm1(-4 * d / m) - d * np.exp(-4 * d / m), 0)
+    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (differ <= mean + 5 * np.sqrt(spread) + 1)
+
+
 def sketch(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (two longs), keys (2 * HALVES longs) and signature (a byte of each minhash); keys null for empty sets."""
+    """doc_id, n_shingles, fingerprint (two longs), left (HALVES keys), codes (32 bits of each of the 2 * HALVES keys) and odd; the last three null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 2 << 20):
+            for b in slices(batch, 1 << 20):
                 row, h = shingles(*text_bytes(b.column(1)))
                 n = np.bincount(row, minlength=b.num_rows)
                 full = np.flatnonzero(n)
                 at = (np.cumsum(n) - n)[full]
                 f1, f2 = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
-                sig, keys = np.zeros((len(full), HASHES), np.uint8), np.zeros((len(full), 2 * HALVES), np.uint64)
+                keys = np.zeros((len(full), 2 * HALVES), np.uint64)
                 if len(full):
                     f1[full], f2[full] = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ BASE), at)
                     for t in range(HASHES):
-                        low = np.minimum.reduceat(h * TIMES[t] + PLUS[t], at)
                         k, j = divmod(t, DEEP)
-                        sig[:, t] = (mix(low) & np.uint64(255)).astype(np.uint8)
-                        keys[:, k] += low * FOLD[k, j]
+                        keys[:, k] += np.minimum.reduceat(h * TIMES[t] + PLUS[t], at) * FOLD[k, j]
                     keys = mix(keys + np.arange(2 * HALVES, dtype=np.uint64) * BASE)
-                some = np.zeros(b.num_rows, bool)
-                some[full] = True
-                sigs, packed = [None] * b.num_rows, [None] * b.num_rows
+                left, codes, odd = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
+                short = (keys >> np.uint64(32)).astype("<u4")
                 for i, r in enumerate(full.tolist()):
-                    sigs[r], packed[r] = sig[i].tobytes(), keys[i].view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(packed, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "keys", "signature"])
+                    left[r], codes[r], odd[r] = keys[i, :HALVES].view(np.int64), short[i].tobytes(), odd_sketch(h[at[i] : at[i] + n[r]])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(left, pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(odd, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "left", "codes", "odd"])
+        release()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature binary")
-
-
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b and the share of agreeing minhashes, for the pairs that may be linked."""
-    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            if len(g):
-                x, y = (np.frombuffer(b"".join(g[c]), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
-                g = g[["a", "b"]].assign(share=(x == y).mean(1))
-                yield g[g["share"] >= 0.5]
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, left array<long>, codes binary, odd binary")
+
+
+def compared(a: np.ndarray, b: np.ndarray, m: np.ndarray, bits: dict[int, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in which the odd sketches of rows a and b differ, and of how many: a longer sketch is folded to the shorter's length."""
+    differ, least = np.zeros(len(a), np.int64), np.minimum(m[a], m[b])
+    for width in np.unique(least).tolist():
+        k = np.flatnonzero(least == width)
+        x, y = (folded(bits, m, at, r[k], width) for r in (a, b))
+        differ[k] = np.bitwise_count(x ^ y).sum(1)
+    return differ, least
+
+
+def folded(bits: dict[int, np.ndarray], m: np.ndarray, at: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width // 64), np.uint64)
+    for size in np.unique(m[rows]).tolist():
+        k = np.flatnonzero(m[rows] == size)
+        out[k] = np.bitwise_xor.reduce(bits[size][at[rows[k]]].reshape(len(k), size // width, width // 64), axis=1)
+    return out
+
+
+def pairs_of(t: pa.Table, best: bool) -> pa.RecordBatch:
+    """The pairs of a table of whole pieces, sorted by piece: a, b and how alike they may be. best: each row's best pair only."""
+    piece, part, node, half = (t.column(c).to_numpy() for c in ("piece", "part", "component", "half"))
+    ids, n = t.column("doc_id").to_numpy(), t.column("n_shingles").to_numpy()
+    codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), "<u4").reshape(-1, 2 * HALVES)
+    odd = t.column("odd").to_pylist()
+    m = np.array([len(o) * 8 for o in odd], np.int64)
+    bits, at = {}, np.zeros(len(odd), np.int64)
+    for size in np.unique(m).tolist():
+        k = np.flatnonzero(m == size)
+        bits[size], at[k] = np.frombuffer(b"".join(odd[i] for i in k), np.uint64).reshape(len(k), -1), np.arange(len(k))
+    edges = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+    end = np.repeat(np.r_[edges[1:], len(piece)], np.diff(np.r_[edges, len(piece)]))
+    mixed = np.minimum.reduceat(node, edges) < np.maximum.reduceat(node, edges)
+    open_ = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[edges, len(piece)])))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    top, who = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)
+    waits: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        if not waits:
+            return
+        a, b = (np.concatenate(x) for x in zip(*waits, strict=True))
+        waits.clear()
+        for i in range(0, len(a), PAIRS):
+            x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+            meet = (codes[x, HALVES:] == codes[y, HALVES:]).any(1)
+            x, y = x[meet], y[meet]
+            if not best and len(x):  # a pair is of its first left half
+                first = (codes[x, :HALVES] == codes[y, :HALVES]).argmax(1) == half[x]
+                x, y = x[first], y[first]
+            differ, width = compared(x, y, m, bits, at)
+            ok = may_link(n[x], n[y], differ, width)
+            x, y, alike = x[ok], y[ok], 1 - differ[ok] / (n[x[ok]] + n[y[ok]])
+            if not best:
+                found.append((ids[x], ids[y], alike))
+                continue
+            for p, q in ((x, y), (y, x)):
+                order = np.lexsort((-ids[q], alike, p))  # of equals the least id is last
+                p, q, s = p[order], q[order], alike[order]
+                last = np.r_[p[1:] != p[:-1], np.ones(min(1, len(p)), bool)]
+                p, q, s = p[last], q[last], s[last]
+                better = s > top[p]
+                top[p[better]], who[p[better]] = s[better], q[better]
+
+    step, waiting = 1, 0
+    while True:
+        open_ = open_[open_ + step < end[open_]]
+        if not len(open_):
+            break
+        other = open_ + step
+        k = (node[open_] != node[other]) & (4 * np.minimum(n[open_], n[other]) >= 3 * np.maximum(n[open_], n[other])) & (best | (part[open_] < 0) | (part[open_] != part[other]))
+        if k.any():
+            waits.append((open_[k], other[k]))
+            waiting += int(k.sum())
+            if waiting >= PAIRS:
+                settle()
+                waiting = 0
+        step += 1
+    settle()
+    if best:
+        k = np.flatnonzero(top >= 0)
+        found = [(ids[k], ids[who[k]], top[k])]
+    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "alike"])
+
+
+def searched(rows: DataFrame, payload: DataFrame, found: DataFrame, best: bool, salt: int = 0) -> DataFrame:
+    """a, b, alike: what pairs_of() finds in the pieces of the groups in rows (key, half, size, doc_id, f1) that hold several components."""
+    placed = _placed(rows, found)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    placed = placed.join(mixed, "key")
+    chunks = F.ceil(F.col("size") / GROUP).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit(salt)), chunks).cast("int")
+    if best:
+        placed = placed.withColumn("piece", F.when(chunks == 1, F.col("key")).otherwise(F.xxhash64("key", chunk))).withColumn("part", F.lit(-1))
+    else:  # chunk x meets chunk y in the piece of both; a chunk's own pairs are found in its piece with itself
+        placed = placed.withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        placed = placed.withColumn("piece", F.when(chunks == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))).withColumn("part", F.when(low == high, F.lit(-1)).otherwise(F.col("own")))
+    wide = placed.select("piece", "part", "half", "doc_id", "f1", "component").join(payload, ["doc_id", "f1"]).drop("f1")
+    wide = wide.repartition("piece").sortWithinPartitions("piece")
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return near.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, share double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            piece = b.column(b.schema.get_field_index("piece")).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])[-1])  # the last piece may go on
+            if cut or (rest and rest[-1].column(b.schema.get_field_index("piece"))[-1].as_py() != piece[0]):
+                if cut:
+                    rest.append(b.slice(0, cut))
+                yield pairs_of(pa.Table.from_batches(rest), best)
+                rest = [b.slice(cut)]
+            else:
+                rest.append(b)
+        if rest:
+            yield pairs_of(pa.Table.from_batches(rest), best)
+        release()
+
+    return wide.mapInArrow(run, "a long, b long, alike double")
 
 
 def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs a, b that are linked, on their full sets."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= SMALL
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    """The pairs a, b that are linked, on their full sets. pairs is written already; the texts of its documents go to them."""
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(ids), "doc_id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 2 << 20):
-                row, h = shingles(*text_bytes(b.column(1)))
-                cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "set"])
-
-    full = materialize(texts.mapInArrow(sets, "doc_id long, set binary"), "sets")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            ok = []
-            for x, y in zip(g["sa"], g["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-            yield g.loc[np.array(ok, bool), ["a", "b"]]
-
-    side = lambda x: full.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long").distinct()
+            for b in slices(batch, 1 << 20, "x"):
+                sides = [shingles(*text_bytes(b.column(b.schema.get_field_index(c)))) for c in ("x", "y")]
+                cuts = [np.searchsorted(row, np.arange(b.num_rows + 1)) for row, _ in sides]
+                ok = []
+                for i in range(b.num_rows):
+                    x, y = (h[cut[i] : cut[i + 1]] for (_, h), cut in zip(sides, cuts, strict=True))
+                    all_ = np.sort(np.concatenate([x, y]))
+                    both = int((all_[1:] == all_[:-1]).sum())
+                    ok.append(100 * both >= 75 * (len(all_) - both) > 0)
+                k = pa.array(np.flatnonzero(ok), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).take(k) for c in ("a", "b")], ["a", "b"])
+        release()
+
+    side = lambda c, t: texts.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+    linked = sent(pairs.select("a", "b")).join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a long, b long").distinct()
+    out = materialize(linked, "links")
+    discard(ids)
+    return out
 
 
 def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -194,70 +317,54 @@ def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of found and links: the links join components, which are then renamed."""
+    """Components of found and links: the links join components, which are then renamed. Both are deleted."""
     own = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    above = materialize(components(between), "components")
+    above = components(between)
     known = found.join(above.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
-    return materialize(known.unionByName(above.join(found.select("node"), "node", "left_anti").select("node", "component")), "components")
+    out = materialize(known.unionByName(above.join(found.select("node"), "node", "left_anti").select("node", "component")), "components")
+    discard(found, links, above)
+    return out
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     sketched = materialize(sketch(documents), "sketches")
     known = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"))
-    member = known.select("doc_id", "f1", "f2").join(classes.where("times > 1"), ["f1", "f2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    nodes = materialize(known.join(classes.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", "n_shingles", "keys", "signature"), "nodes")
-
-    halves = nodes.select("doc_id", "n_shingles", F.posexplode("keys").alias("half", "key"))
-    paired = halves.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    shared = halves.join(paired, "key").groupBy("doc_id", "n_shingles").agg(F.collect_list(F.struct("half", "key")).alias("h"))  # at most 2 * HALVES each
-    left = F.filter("h", lambda x: x.half < HALVES)
-    right = F.filter("h", lambda x: x.half >= HALVES)
-    both = shared.select("doc_id", F.col("n_shingles").alias("n"), left.alias("l"), right.alias("r")).where((F.size("l") > 0) & (F.size("r") > 0))
-    product = both.select("doc_id", "n", F.explode("l").alias("l"), "r").select("doc_id", "n", "l", F.explode("r").alias("r"))
-    rows = product.select("doc_id", "n", F.xxhash64("l.key", "r.key").alias("bucket"), F.col("l.half").cast("byte").alias("lh"), (F.col("r.half") - HALVES).cast("byte").alias("rh"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("times")).where("times > 1").select("bucket")
-    rows = materialize(rows.join(full, "bucket"), "tables")
-
-    straight = rows.where("lh = rh").select("bucket", "doc_id")
-    found = materialize(components(member), "components")
+    classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("times")).where("times > 1").select("f1", "f2", "node")
+    copies = materialize(known.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> node").select("doc_id", "f1", "node").distinct(), "copies")
+    found = components(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    nodes = known.join(sent(copies.select("doc_id", "f1")), ["doc_id", "f1"], "left_anti")
+
+    left = nodes.select("doc_id", "f1", F.posexplode("left").alias("half", "key"))
+    one, two = F.xxhash64("doc_id", "f1"), F.xxhash64("f1", "doc_id", F.lit(1))
+    groups = left.groupBy("key").agg(F.count("*").alias("size"), F.min("half").alias("half"), F.bit_xor(one).alias("x"), F.sum(two.cast("decimal(38,0)")).alias("s")).where("size > 1")
+    groups = groups.groupBy("size", "x", "s").agg(F.min(F.struct("half", "key")).alias("k")).select("k.key", "size")
+    groups = materialize(groups, "groups")
+    rows = materialize(left.join(sent(groups), "key"), "rows")
+    members = materialize(rows.select("doc_id", "f1").distinct(), "members")
+    payload = nodes.select("doc_id", "f1", "n_shingles", "codes", "odd").join(sent(members), ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id", "f1"])
+    payload = materialize(payload, "payload")
+
     for step in range(ROUNDS):
-        placed = _placed(straight, found)
-        if step == 0:
-            centres = placed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("c"))
-        else:
-            turn = F.struct(F.xxhash64("doc_id", F.lit(step)), "doc_id")
-            sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min_by("doc_id", turn).alias("doc_id"))
-            centres = sizes.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "component"), F.struct("size", "component")).alias("c"))
-        stars = placed.join(centres, "bucket").where("component <> c.component").select(F.col("doc_id").alias("b"), F.col("c.doc_id").alias("a")).distinct()
-        best = likely(stars, nodes).groupBy("b").agg(F.max_by("a", F.struct("share", F.col("a"))).alias("a"))
-        links = materialize(verified(materialize(best.select("a", "b"), "stars"), documents), "links")
+        named = searched(rows, payload, found, best=True, salt=step)
+        named = named.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
+        named = materialize(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "trees")
+        links = verified(named, documents)
+        discard(named)
         if not links.take(1):
+            discard(links)
             break
         found = _joined(found, links)
 
-    placed = materialize(_placed(rows, found), "placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("parts > 1").select("bucket", "largest")
-    short = lambda at: F.transform(F.slice("keys", at, HALVES), lambda k: k.bitwiseAND((1 << 31) - 1).cast("int"))  # noqa: E731  31 bits: two keys are taken for equal once in 2e9
-    codes = nodes.select("doc_id", short(1).alias("ls"), short(HALVES + 1).alias("rs"))
-    open_ = materialize(placed.join(mixed, "bucket").join(codes, "doc_id"), "open")
-    side = lambda x: open_.select("bucket", *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "component", "n", "ls", "rs")), *(["largest", "lh", "rh"] if x == "x" else []))
-    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p == q), True)
-    alike = F.expr("componentx <> largest AND componentx <> componenty AND (componenty = largest OR doc_idx < doc_idy) AND 4 * nx >= 3 * ny AND 4 * ny >= 3 * nx")
-    once = (same("lsx", "lsy") == F.col("lh") + 1) & (same("rsx", "rsy") == F.col("rh") + 1)
-    x, y = side("x").alias("x"), side("y").alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & alike & once).select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b"))
-    more = materialize(verified(materialize(likely(rest, nodes).select("a", "b"), "rest"), documents), "links")
-    if more.take(1):
-        found = _joined(found, more)
-    for t in (rows, placed, open_):
-        discard(t)
+    rest = materialize(searched(rows, payload, found, best=False).select("a", "b").distinct(), "rest")
+    links = verified(rest, documents)
+    found = _joined(found, links)
     out = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")), "near_duplicates")
+    discard(sketched, copies, groups, rows, members, payload, rest, found)
+    return out
 
 
 def op4_near_dups(spark, sf_dir: str) -> DataFrame:
