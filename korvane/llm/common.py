@@ -61,6 +61,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """persist() until sweep(): executors keep df, and what a lost one kept is computed again."""
+    arrow_batches(df.sparkSession)
+    _held.append(df.persist())
+    return df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -76,7 +86,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all tables of this driver but those in keep. For callers who have written a lazy result: it may read such tables until then."""
+    """Delete all tables of this driver but those in keep, and let go of what hold() keeps. For callers who have written a lazy result: it may read either until then."""
+    while _held:
+        _held.pop().unpersist()
     kept = {getattr(df, "_korvane_path", None) for df in keep}
     for path in [p for p in _written if p not in kept]:
         _delete(spark, path)

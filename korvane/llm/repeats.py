@@ -14,11 +14,14 @@ the input, and never cross documents.
             backwards, as suffixes: multikey quicksort, a word of eight bytes at a time, to SHALLOW bytes, then blind
             tries for the groups that are still equal. Common prefix lengths of neighbours then give, for each length,
             the classes of equal suffixes, and so the smallest doc_id for every string through the anchor.
-  hot       Anchors that HOT or more documents share are not gathered: every string that has one as its anchor goes
-            out as a 128-bit hash with the block's smallest doc_id, and hashes of one string meet whatever their anchor.
-
-Defined cases: a null text has no bytes; texts under WINDOW bytes lose nothing; rows with a null doc_id lose nothing
-and take nothing; rows that repeat a doc_id do not remove each other; other columns are not read.
+  hot       What surrounds an anchor that HOT or more documents share is dealt out in finer pieces: each distinct string
+            over it goes out by itself, with the block's smallest doc_id, to the bucket of its own hash. Buckets sort
+            such strings by the same deep-shallow sort; equal bytes, not equal hashes, decide. HOT moves work, no result.
+
+Defined cases: a null or empty text has no bytes; texts under WINDOW bytes lose nothing; a very long text makes its
+block as much longer; rows with a null doc_id lose nothing and take nothing; rows that repeat a doc_id do not remove
+each other; of equal texts the smallest doc_id keeps its bytes; an empty table gives no rows; other columns are not
+read, so their names cannot clash (those in `carry` may not bear the names of the result).
 """
 
 from __future__ import annotations
@@ -32,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from korvane.llm.common import byte_table, materialize, mix, table, text_bytes
+from korvane.llm.common import byte_table, hold, materialize, mix, release, sent, table
 
 WINDOW = 50
 ANCHOR = 16
 SPAN = WINDOW - ANCHOR  # 34: bytes that a string may have before its anchor, or after it
 BLOCK = 4 << 20
-WORK = 1 << 20  # bytes of text that have work arrays at one time
+WORK = 1 << 16  # bytes of text that have work arrays at one time: these then stay in a core's cache
 SHALLOW = 24
 HOT = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -109,6 +112,27 @@ def deep_shallow(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, common
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    h = np.zeros(len(rows), np.uint64)
+    for w in wide.view("<u8").T:
+        h = mix((h + w) * BASE)
+    return h
+
+
+def classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each class of equal rows (n x length, bytes), and each row's class. Sorted by hash, decided by bytes."""
+    h = row_hashes(rows)
+    order = np.argsort(h, kind="stable")
+    new = np.r_[np.ones(min(1, len(h)), bool), h[order][1:] != h[order][:-1]]
+    first, which = order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    if (rows != rows[first[which]]).any():  # two rows of one hash
+        return np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)[1:]
+    return first, which
+
+
 # --- a block's strings ---------------------------------------------------------------------------------------------
 
 
@@ -164,6 +188,7 @@ class Block:
             self._anchors(self.data[base : base + n], np.array([len(self.texts[k]) for k in live[first:last]]), np.array(live[first:last]), base)
             first = last
         cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        self.sizes, self.padded = np.array([len(x) for x in self.texts], np.int64), None
         self.row, self.pos, self.hash = cat(self.row, np.int64), cat(self.pos, np.int64), cat(self.hash, np.uint64)
 
     def _anchors(self, data: np.ndarray, lengths: np.ndarray, rows: np.ndarray, base: int) -> None:
@@ -182,32 +207,37 @@ class Block:
 
     def around(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What follows the anchors k, what precedes them backwards, and how much of either is text."""
-        sizes = np.array([len(x) for x in self.texts], np.int64)
-        rv = np.minimum(WINDOW, sizes[self.row[k]] - self.pos[k])
+        rv = np.minimum(WINDOW, self.sizes[self.row[k]] - self.pos[k])
         lv = np.minimum(SPAN, self.pos[k])
-        at = (self.start[self.row[k]] + self.pos[k])[:, None]
-        j = np.arange(WINDOW)
-        right = np.where(j < rv[:, None], self.data[np.minimum(at + j, len(self.data) - 1)], 0).astype(np.uint8)
-        j = np.arange(SPAN)
-        left = np.where(j < lv[:, None], self.data[np.maximum(at - 1 - j, 0)], 0).astype(np.uint8)
+        at = self.start[self.row[k]] + self.pos[k]
+        right, left = self.windows(WINDOW)[at + SPAN], self.windows(SPAN)[at][:, ::-1].copy()
+        for side, valid, length in ((right, rv, WINDOW), (left, lv, SPAN)):
+            cut = np.flatnonzero(valid < length)
+            side[cut] = np.where(np.arange(length) < valid[cut][:, None], side[cut], 0)
         return right, left, rv, lv
 
-    def strings(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each string over one of the anchors k: row, start, and the two halves of its hash."""
-        sizes = np.array([len(x) for x in self.texts], np.int64)
+    def windows(self, length: int) -> np.ndarray:
+        """All runs of `length` bytes of the block's data, with SPAN zeros before it and WINDOW after it."""
+        if self.padded is None:
+            self.padded = np.concatenate([np.zeros(SPAN, np.uint8), self.data, np.zeros(WINDOW, np.uint8)])
+        return np.lib.stride_tricks.sliding_window_view(self.padded, length)
+
+    def strings(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each string over one of the anchors k: row, start, and its place in the block's data."""
         start = (self.pos[k][:, None] - np.arange(SPAN + 1)).ravel()
         row = np.repeat(self.row[k], SPAN + 1)
-        ok = (start >= 0) & (start + WINDOW <= sizes[row])
+        ok = (start >= 0) & (start + WINDOW <= self.sizes[row])
         at = np.unique((self.start[row] + start)[ok])
-        hs = [np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)]
-        for a in range(0, len(self.data), WORK):
-            low, high = np.searchsorted(at, [a, a + WORK])
-            for which in (0, 1) if high > low else ():
-                hs[which][low:high] = rolled(self.data[a : a + WORK + WINDOW - 1], WINDOW, which)[at[low:high] - a]
         rows = np.flatnonzero(self.start >= 0)
         rows = rows[np.argsort(self.start[rows])]
         row = rows[np.searchsorted(self.start[rows], at, "right") - 1] if len(at) else np.zeros(0, np.int64)
-        return row, at - self.start[row], hs[0], hs[1]
+        return row, at - self.start[row], at
+
+    def distinct(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct strings at these places (n x WINDOW, bytes), and which of them each place has."""
+        rows = self.windows(WINDOW)[at + SPAN]
+        first, which = classes(rows)
+        return rows[first], which
 
 
 # --- what moves ----------------------------------------------------------------------------------------------------
@@ -234,6 +264,21 @@ def buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((mix(h ^ BASE) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """What tells anchors of one bucket apart: 40 bits. Two that it takes for one only cost a needless comparison of bytes."""
+    return mix(h ^ BASE) & np.uint64((1 << 40) - 1)
+
+
+def pack(k: np.ndarray) -> bytes:
+    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of a sorted array."""
     if not len(bucket):
@@ -255,17 +300,18 @@ def tell_anchors(n_buckets: int):
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         docs = np.add.reduceat((new | np.r_[True, row[1:] != row[:-1]]).astype(np.int64), np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64)
         keys, blk = h[new], t.column("blk")[0].as_py() if t.num_rows else -1
-        to = buckets(keys, n_buckets)
+        to, keys = buckets(keys, n_buckets), short(keys)
         order = np.argsort(to, kind="stable")
         to, keys, docs = to[order], keys[order], docs[order]
-        return notes([(blk, SHARED, k, keys[s].tobytes(), np.minimum(docs[s], 65535).astype("<u2").tobytes(), None, None) for k, s in parts(to)])
+        release()
+        return notes([(blk, SHARED, k, pack(keys[s]), np.minimum(docs[s], 65535).astype("<u2").tobytes(), None, None) for k, s in parts(to)])
 
     return run
 
 
 def find_shared(t: pa.Table) -> pa.Table:
     rows = t.to_pylist()
-    keys = [np.frombuffer(r["a"], np.uint64) for r in rows]
+    keys = [unpack(r["a"]) for r in rows]
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     docs = np.bincount(at, np.concatenate([np.frombuffer(r["b"], "<u2") for r in rows]).astype(float))
     out, i = [], 0
@@ -273,21 +319,22 @@ def find_shared(t: pa.Table) -> pa.Table:
         n = docs[at[i : i + len(k)]]
         i += len(k)
         if (n >= 2).any():
-            out.append((r["blk"], SHARED, r["bucket"], k[n >= 2].tobytes(), np.packbits(n[n >= 2] >= HOT).tobytes(), None, None))
+            out.append((r["blk"], SHARED, r["bucket"], pack(k[n >= 2]), np.packbits(n[n >= 2] >= HOT).tobytes(), None, None))
     return notes(out)
 
 
-def shared_of(b: Block, got: dict) -> tuple[np.ndarray, np.ndarray]:
+def shared_of(b: Block, got: dict, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the block's anchors that several documents share: the few-document ones and the hot ones."""
-    said = [(np.frombuffer(r["a"], np.uint64), r["b"]) for r in got.get(SHARED, [])]
+    said = [(unpack(r["a"]) | np.uint64(r["bucket"] << 40), r["b"]) for r in got.get(SHARED, [])]
     if not said:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = np.concatenate([k for k, _ in said])
     hot = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for k, x in said])
     order = np.argsort(keys)
     keys, hot = keys[order], hot[order]
-    i = np.minimum(np.searchsorted(keys, b.hash), len(keys) - 1)
-    known = keys[i] == b.hash
+    own = short(b.hash) | (buckets(b.hash, n_buckets).astype(np.uint64) << np.uint64(40))
+    i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    known = keys[i] == own
     return np.flatnonzero(known & ~hot[i]), np.flatnonzero(known & hot[i])
 
 
@@ -295,25 +342,22 @@ def tell_strings(n_buckets: int):
     def run(t: pa.Table, more: pa.Table) -> pa.Table:
         got = read_notes(more)
         b, blk, out = block_of(t, got), t.column("blk")[0].as_py() if t.num_rows else -1, []
-        near, hot = shared_of(b, got)
-        near = near[np.argsort(b.hash[near], kind="stable")]
+        near, hot = shared_of(b, got, n_buckets)
         to = buckets(b.hash[near], n_buckets)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((b.hash[near], to))
         near, to = near[order], to[order]
         for k, s in parts(to):
             right, left, rv, lv = b.around(near[s])
             out.append((blk, NEAR, k, np.concatenate([right, left], 1).tobytes(), np.stack([rv, lv], 1).astype(np.uint8).tobytes(), b.doc[b.row[near[s]]].tobytes(), np.stack([b.row[near[s]], b.pos[near[s]]], 1).astype("<u4").tobytes()))
-        row, _, h1, h2 = b.strings(hot)
-        doc = b.doc[row]
-        order = np.lexsort((doc, h2, h1))
-        h1, h2, doc = h1[order], h2[order], doc[order]
-        if len(h1):
-            new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            h1, h2, doc = h1[new], h2[new], doc[new]
-        to = buckets(h1, n_buckets)
+        row, _, at = b.strings(hot)
+        strings, which = b.distinct(at)
+        least = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, b.doc[row])
+        to = buckets(row_hashes(strings), n_buckets)
         order = np.argsort(to, kind="stable")
-        to, h1, h2, doc = to[order], h1[order], h2[order], doc[order]
-        out += [(blk, FAR, n_buckets + k, h1[s].tobytes(), h2[s].tobytes(), doc[s].tobytes(), None) for k, s in parts(to)]
+        to, strings, least = to[order], strings[order], least[order]
+        out += [(blk, FAR, n_buckets + k, strings[s].tobytes(), None, least[s].tobytes(), None) for k, s in parts(to)]
+        release()
         return notes(out)
 
     return run
@@ -325,11 +369,11 @@ def judge_near(right: np.ndarray, left: np.ndarray, rv: np.ndarray, lv: np.ndarr
     offsets = np.arange(SPAN + 1)
     allowed = ((offsets <= lv[:, None]) & (WINDOW - offsets <= rv[:, None])) @ (np.uint64(1) << offsets.astype(np.uint64))
     whole = np.concatenate([right, left, rv[:, None].astype(np.uint8), lv[:, None].astype(np.uint8)], 1)
-    _, first, same = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    first, same = classes(whole)
     smallest = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(smallest, same, doc)
     mask = np.where(doc > smallest[same], allowed, np.uint64(0))
-    anchor = np.unique(np.ascontiguousarray(right[first, :ANCHOR]).view(f"V{ANCHOR}").ravel(), return_inverse=True)[1]
+    anchor = classes(right[first, :ANCHOR])[1]
     few = np.flatnonzero(np.bincount(anchor)[anchor] > 1)  # anchors whose surroundings are all equal are done
     if not len(few):
         return mask
@@ -369,23 +413,23 @@ def judge(t: pa.Table) -> pa.Table:
             if len(k):
                 out.append((r["blk"], NEAR, r["bucket"], at[k].tobytes(), mask[k].tobytes(), None, None))
         return notes(out)
-    h1, h2, doc = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
-    order = np.lexsort((doc, h2, h1))
-    a, b, d = h1[order], h2[order], doc[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    strings, doc = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in (("a", np.uint8), ("c", np.int64)))
+    order, common = deep_shallow(strings.reshape(-1, WINDOW), np.zeros(len(doc), np.int64))
+    new = np.flatnonzero(common < WINDOW)
     least = np.empty(len(doc), np.int64)
-    least[order] = d[new][np.cumsum(new) - 1]
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], new), np.diff(np.r_[new, len(doc)]))
     i = 0
     for r in rows:
         n = len(r["c"]) // 8
         k = i + np.flatnonzero(least[i : i + n] < doc[i : i + n])
         i += n
         if len(k):
-            out.append((r["blk"], FAR, r["bucket"], h1[k].tobytes(), h2[k].tobytes(), least[k].tobytes(), None))
+            out.append((r["blk"], FAR, r["bucket"], strings.reshape(-1, WINDOW)[k].tobytes(), None, least[k].tobytes(), None))
+    release()
     return notes(out)
 
 
-def cut(keep_text: bool, carry: list[str]):
+def cut(keep_text: bool, carry: list[str], n_buckets: int):
     def run(t: pa.Table, more: pa.Table) -> pa.Table:
         got = read_notes(more)
         b = block_of(t, got)
@@ -402,19 +446,22 @@ def cut(keep_text: bool, carry: list[str]):
                 k = (mask >> np.uint64(o)) & np.uint64(1) == 1
                 if k.any():
                     add(at[k, 0], at[k, 1] - o)
-        _, hot = shared_of(b, got)
+        _, hot = shared_of(b, got, n_buckets)
         if len(hot):
-            row, start, h1, h2 = b.strings(hot)
-            doc = b.doc[row]
+            row, start, at = b.strings(hot)
+            strings, which = b.distinct(at)
             # the smallest document of this block, or of another one
+            smallest = np.full(len(strings), np.iinfo(np.int64).max)
+            np.minimum.at(smallest, which, b.doc[row])
             far = got.get(FAR, [])
-            g1, g2, least = (np.concatenate([h, *(np.frombuffer(r[k], kind_) for r in far)]) for h, k, kind_ in ((h1, "a", np.uint64), (h2, "b", np.uint64), (doc, "c", np.int64)))
-            order = np.lexsort((least, g2, g1))
-            a, c, d = g1[order], g2[order], least[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]
-            smallest = np.empty(len(d), np.int64)
-            smallest[order] = d[new][np.cumsum(new) - 1]
-            k = smallest[: len(doc)] < doc
+            if far:
+                other = np.concatenate([np.frombuffer(r["a"], np.uint8) for r in far]).reshape(-1, WINDOW)
+                least = np.concatenate([np.frombuffer(r["c"], np.int64) for r in far])
+                _, both = classes(np.concatenate([strings, other]))
+                place = np.empty(both.max() + 1, np.int64)
+                place[both[: len(strings)]] = np.arange(len(strings))
+                np.minimum.at(smallest, place[both[len(strings) :]], least)
+            k = smallest[which] < b.doc[row]
             add(row[k], start[k])
         n_removed, n_spans, sha, kept = [], [], [], []
         for k, x in enumerate(b.texts):
@@ -452,21 +499,23 @@ def repeats(documents: DataFrame, keep_text: bool = True, carry: tuple[str, ...]
     size = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK + 1)
     blk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n_blocks)).alias("blk")  # rows without an id are dealt by their texts
-    blocks = docs.select("doc_id", "text", *carry, blk).repartition(n_blocks, "blk").persist()
+    blocks = hold(docs.select("doc_id", "text", *carry, blk).repartition(n_blocks, "blk"))
 
-    first = narrow.where(F.col("n") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("sha", "first")
-    copies = narrow.where(F.col("n") >= WINDOW).join(first, "sha").where(F.col("doc_id") > F.col("first")).select("doc_id", F.unhex("sha").alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("blk"))
+    long = narrow.where(F.col("n") >= WINDOW)
+    first = materialize(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("sha", "first"), "first")
+    copies = long.join(sent(first), "sha").where(F.col("doc_id") > F.col("first")).select("doc_id", F.unhex("sha").alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("blk"))
 
-    def pack(t: pa.Table) -> pa.Table:
+    def gather(t: pa.Table) -> pa.Table:
         return notes([(t.column("blk")[0].as_py(), COPIES, 0, t.column("doc_id").to_numpy().astype(np.int64).tobytes(), b"".join(t.column("sha").to_pylist()), None, None)])
 
-    copied = copies.groupBy("blk").applyInArrow(pack, NOTE).persist()
+    copied = hold(copies.groupBy("blk").applyInArrow(gather, NOTE))
     both = lambda df, f, kind: blocks.groupBy("blk").cogroup(df.groupBy("blk")).applyInArrow(f, kind)
-    shared = both(copied, tell_anchors(n_blocks), NOTE).groupBy("bucket").applyInArrow(find_shared, NOTE).persist()
+    dealt = lambda df: df.repartition(n_blocks, "bucket").groupBy("bucket")
+    shared = hold(dealt(both(copied, tell_anchors(n_blocks), NOTE)).applyInArrow(find_shared, NOTE))
     known = copied.unionByName(shared)
-    judged = both(known, tell_strings(n_blocks), NOTE).groupBy("bucket").applyInArrow(judge, NOTE)
+    judged = dealt(both(known, tell_strings(n_blocks), NOTE)).applyInArrow(judge, NOTE)
     kind = _parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return both(known.unionByName(judged), cut(keep_text, carry), StructType([*kind.fields, *docs.select(*carry).schema.fields]))
+    return both(known.unionByName(judged), cut(keep_text, carry, n_blocks), StructType([*kind.fields, *docs.select(*carry).schema.fields]))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

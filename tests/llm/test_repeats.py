@@ -69,6 +69,36 @@ def test_hot_passage(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == every_string(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 5, 1 << 14])
+def test_what_counts_as_hot_changes_no_byte(spark, monkeypatch, hot):
+    rng = random.Random(9)
+    passage = ["".join(rng.choice("abcdefgh é") for _ in range(160)) for _ in range(3)]
+    rows = [(i, "".join(rng.choice([rng.choice(passage)[rng.randint(0, 60) :], "".join(rng.choice("xyz ") for _ in range(30))]) for _ in range(5))) for i in range(60)]
+    monkeypatch.setattr(R, "HOT", hot)
+    rng.shuffle(rows)
+    assert local(rows, 4) == every_string(rows)
+
+
+def block(rows):
+    import pyarrow as pa
+
+    return pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "blk": pa.array([rows[0][0]] * len(rows), pa.int64())})
+
+
+def local(rows, n):
+    """The four passes over n blocks, without Spark."""
+    import pyarrow as pa
+
+    blocks = [block(rows[i::n]) for i in range(n)]
+    by = lambda ts, c: {k: pa.concat_tables(ts).filter(pa.compute.equal(pa.concat_tables(ts)[c], k)) for k in set(pa.concat_tables(ts)[c].to_pylist())}
+    none = R.notes([])
+    shared = by([R.find_shared(t) for t in by([R.tell_anchors(n)(b, none) for b in blocks], "bucket").values()], "blk")
+    of = lambda got, b: got.get(b["blk"][0].as_py(), none)
+    judged = by([R.judge(t) for t in by([R.tell_strings(n)(b, of(shared, b)) for b in blocks], "bucket").values()], "blk")
+    out = [R.cut(False, [], n)(b, pa.concat_tables([of(shared, b), of(judged, b)])) for b in blocks]
+    return sorted((tuple(r.values())[:5] for t in out for r in t.to_pylist()), key=str)
+
+
 def test_null_and_repeated_ids(spark):
     a, b = "shared passage of more than fifty bytes, which all of these rows hold somewhere", "and other text that only two rows have, also more than fifty bytes in length"
     rows = [(None, a), (None, a + b), (4, a), (4, a), (4, b), (9, a + " " + b), (2, "x")]
