@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from korvane.llm.common import held_out, slices, table
+from korvane.llm.common import curve, held_out, slices, table
 
 BLOCK = 2048
 LEVEL = 3
@@ -74,23 +74,6 @@ def difference(documents: DataFrame, good: bytes, bad: bytes) -> DataFrame:
     return documents.mapInArrow(run, StructType([*documents.schema.fields]).add("difference", DoubleType()))
 
 
-def curve(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton's method with a slight ridge; classes count by their share of all labels."""
-    w = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    scale = float(np.sqrt(np.mean(x**2))) or 1.0
-    a = np.stack([x / scale, np.ones(len(x))], 1)
-    t = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
-        g = a.T @ (w * (p - y)) + np.array([1e-2, 0]) * t
-        h = (a * (w * p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6])
-        step = np.linalg.solve(h, g)
-        t -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(t[0] / scale), float(t[1])
-
-
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[bytes, bytes, float, float] | float:
     """Dictionaries and curve. Labels of held-out rows are never read. Without both classes: the share of label 1."""
     spark = documents.sparkSession

@@ -8,9 +8,11 @@ softmax are trained jointly, in numpy, on a bounded sample of labelled rows.
 A softmax over a mean of vectors is the mean of a softmax's scores, so a trained model is one number a bucket and
 a bias: scoring needs no shuffle and sends out BUCKETS floats.
 
-Defined cases: a null or empty text, or one without letters, scores what the bias alone gives; a null doc_id is not
-held out and is kept; repeated rows are scored each by itself; labels that are null are not learned; without both
-classes among the labels every text scores the share of label 1 (0 without labels).
+Defined cases: a null or empty text, or one without letters, scores what the bias alone gives; very long texts are
+scored whole; a null doc_id is not held out and is kept; repeated rows are scored each by itself; equal texts score
+alike; labels that are null, or not 0 or 1, are not learned, and of labels that repeat a doc_id each class counts;
+without both classes among the labels every text scores the share of label 1 (0 without labels); empty tables give no
+rows; a column named score is replaced by score() and left alone by below().
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from korvane.llm.common import held_out, table
+from korvane.llm.common import arrow_batches, curve, held_out, release, table
 
 BUCKETS = 1 << 16
 MIN_N, MAX_N = 3, 5
 DIM = 4
 #: Bound of the sample that the model is fitted on: so many labelled rows of each class, those with the smallest hashes.
 SAMPLE_PER_CLASS = 1500
-KEPT = 3000
-STEPS, FREE_STEPS, PENALTY = 120, 100, 0.05
-CACHED_WORDS = 400_000
+EPOCHS, RATE, START = 6, 1.0, 0.001
+CALIBRATE = 4
+CACHED_WORDS = 100_000
+#: A document is toxic from this score on.
+TOXIC = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,62 +65,70 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(at, share).astype(np.float32)
 
 
+def odds_of(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rows: list[np.ndarray], prior: float, rng: np.random.Generator) -> np.ndarray:
+    """Train bucket vectors V and softmax U jointly on the rows of either class; a log-odds number for each bucket.
+
+    Every bucket that these rows have gets a vector. Buckets come in scaled: by one over their root mean square at the
+    prior share of label 1, and by the square of how far the classes' mean shares lie apart in that measure, so that
+    telling buckets learn sooner; none is left out. Plain gradient steps, text by text, classes in turn."""
+    square, mean = np.zeros(BUCKETS), np.zeros((2, BUCKETS))
+    for k, part in enumerate((1 - prior, prior)):
+        for i in rows[k].tolist():
+            ids, share = bags[i]
+            mean[k][ids] += share / len(rows[k])
+            square[ids] += part * share.astype(float) ** 2 / len(rows[k])
+    root = np.sqrt(np.maximum(square, 1e-18))
+    apart = np.abs(mean[1] - mean[0]) / root
+    scale = np.where(square > 0, np.maximum(apart, 1e-3 * apart.max(initial=0)) ** 2 / root, 0)
+    scale = (scale / np.sqrt(max(1e-12, float((square * scale**2).sum())))).astype(np.float32)
+    v = rng.normal(0, START, (BUCKETS, DIM)).astype(np.float32)
+    u = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
+    u = (u - u.mean(1, keepdims=True)) / np.linalg.norm(u[:, 1] - u[:, 0])
+    bias = np.zeros(2, np.float32)
+    inputs = {i: (bags[i][0], bags[i][1] * scale[bags[i][0]]) for r in rows for i in r.tolist() if len(bags[i][0])}
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        turns = [rng.permutation(np.resize(rng.permutation(r), max(map(len, rows)))) for r in rows]
+        for i in np.stack(turns, 1).ravel().tolist():
+            if i not in inputs:
+                continue
+            ids, x = inputs[i]
+            at = v[ids]
+            h = x @ at
+            z = h @ u + bias
+            e = np.exp(z - z.max())
+            d = e / e.sum()
+            d[y[i]] -= 1
+            v[ids] = at - np.outer(x, rate * (u @ d))
+            u -= 0.01 * rate * np.outer(h, d)
+            bias -= 0.1 * rate * d
+    return scale * (v @ (u[:, 1] - u[:, 0]))
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Train bucket vectors V and softmax U jointly; return a log-odds number for each bucket and the bias.
-
-    The KEPT buckets whose mean shares differ most between the classes get vectors, scaled by their root mean square.
-    Accelerated proximal gradient steps with a penalty on the length of each vector leave few of them other than zero;
-    more steps without the penalty then undo its shrinking. Classes weigh the same; the bias is moved half of the way,
-    in log-odds, to the prior share of label 1 among all labelled rows."""
-    rng, y, n = np.random.default_rng(seed), np.array(labels), len(bags)
-    n1 = int((y == 1).sum())
-    df, square, mean = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), np.zeros((2, BUCKETS))
-    for (ids, share), k in zip(bags, y, strict=True):
-        df[ids] += 1
-        square[ids] += share.astype(float) ** 2 / n
-        mean[k][ids] += share / (n1 if k else n - n1)
-    apart = np.where(df >= min(3, n1), np.abs(mean[1] - mean[0]) / np.sqrt(np.maximum(square, 1e-12)), 0)
-    use = np.sort(np.argsort(-apart, kind="stable")[:KEPT])
-    use = use[apart[use] > 0]
-    column = np.full(BUCKETS, -1)
-    column[use] = np.arange(len(use))
-    scale = (1 / np.sqrt(np.maximum(square[use], 1e-12))).astype(np.float32)
-    x = np.zeros((n, len(use)), np.float32)
-    for i, (ids, share) in enumerate(bags):
-        c = column[ids]
-        x[i, c[c >= 0]] = share[c >= 0]
-    x *= scale
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / (n - n1)).astype(np.float32)[:, None]
-    u = rng.normal(0, 1, DIM)
-    u = (np.stack([-u, u], 1) / np.linalg.norm(u) / np.sqrt(2)).astype(np.float32)
-    bias, target = np.zeros(2, np.float32), np.eye(2, dtype=np.float32)[y]
-    top = rng.normal(0, 1, len(use)).astype(np.float32)
-    for _ in range(6):  # power iteration: the step must suit the steepest direction
-        top = x.T @ (weight[:, 0] * (x @ (top / max(np.linalg.norm(top), 1e-12))))
-    steep = 0.5 * np.linalg.norm(top) + 1e-3
-    v = at = np.zeros((len(use), DIM), np.float32)
-    penalty, t = None, 1.0
-    for step in range(STEPS + FREE_STEPS):
-        if step == STEPS:
-            kept = np.abs(v).sum(1) > 0
-            x, v, use, scale = np.ascontiguousarray(x[:, kept]), v[kept], use[kept], scale[kept]
-            at, penalty, t = v, 0.0, 1.0
-        h = x @ at
-        z = h @ u + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - target) * weight
-        g = x.T @ (d @ u.T)
-        if penalty is None:
-            penalty = PENALTY * float(np.sqrt((g**2).sum(1)).max(initial=0))
-        new = at - g / steep
-        new *= np.maximum(0, 1 - penalty / steep / np.maximum(np.sqrt((new**2).sum(1)), 1e-12))[:, None]
-        bias, u = bias - d.sum(0), u - 0.01 * (h.T @ d)
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        at, v = new + ((before - 1) / t) * (new - v), new
-    odds = np.zeros(BUCKETS, np.float32)
-    odds[use] = (v * scale[:, None]) @ (u[:, 1] - u[:, 0])
-    p = min(max(prior, 1e-4), 1 - 1e-4)
-    return odds, float(bias[1] - bias[0] + 0.5 * np.log(p / (1 - p)))
+    """A log-odds number for each bucket, and the bias.
+
+    A first fit leaves out one text in CALIBRATE; a logistic curve over these texts turns odds into scores, at a share of
+    label 1 halfway, in log-odds, between even and the prior. The second fit has all texts; its odds are brought to the
+    first one's spread."""
+    y, n = np.array(labels), len(bags)
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    half = 1 / (1 + np.sqrt((1 - prior) / prior))
+    rank = np.empty(n, np.int64)
+    for k in (0, 1):
+        rank[y == k] = np.arange((y == k).sum())
+    held = rank % CALIBRATE == CALIBRATE - 1
+
+    def raw(odds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.array([float(odds[bags[i][0]] @ bags[i][1]) if len(bags[i][0]) else 0.0 for i in np.flatnonzero(rows)])
+
+    odds = odds_of(bags, y, [np.flatnonzero(y == k) for k in (0, 1)], prior, np.random.default_rng(seed))
+    if len(set(y[held].tolist())) < 2:
+        return odds, float(np.log(half / (1 - half)))
+    first = odds_of(bags, y, [np.flatnonzero((y == k) & ~held) for k in (0, 1)], prior, np.random.default_rng(seed))
+    slope, intercept = curve(raw(first, held), y[held], half)
+    spread = raw(first, ~held).std() / max(1e-12, raw(odds, np.ones(n, bool)).std())
+    return (odds * np.float32(max(slope, 0.0) * spread)).astype(np.float32), intercept
 
 
 class Scorer:
@@ -166,31 +178,40 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> tupl
     return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], [r["y"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
 
-_scorers: dict = {}
+def _scored(documents: DataFrame, model: tuple[np.ndarray, float], kind: StructType, row) -> DataFrame:
+    """row(batch, scores) of each batch. The scorer, with its cache, ends with its task: Python workers are kept for later stages."""
+    arrow_batches(documents.sparkSession)
+    odds, bias = documents.sparkSession.sparkContext.broadcast(model[0]), model[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scorer(odds.value, bias)
+        for b in batches:
+            text = b.column(b.schema.get_field_index("text"))
+            yield row(b, np.array([s.text(t.as_py()) for t in text]))
+        del s
+        release()
+
+    return documents.mapInArrow(run, kind)
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float] | float) -> DataFrame:
-    """All columns of documents and `score` double. One pass, no shuffle."""
+    """All columns of documents and `score` double; a column of that name gives way. One pass, no shuffle."""
+    documents = documents.drop("score")
     if isinstance(model, float):
         return documents.withColumn("score", F.lit(model))
-    odds, bias = documents.sparkSession.sparkContext.broadcast(model[0]), model[1]
-    key = (zlib.crc32(model[0].tobytes()), bias)
+    add = lambda b, z: pa.RecordBatch.from_arrays([*b.columns, pa.array(z, pa.float64())], [*b.schema.names, "score"])
+    return _scored(documents, model, StructType([*documents.schema.fields]).add("score", DoubleType()), add)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(odds.value, bias)
-        s = _scorers[key]
-        for b in batches:
-            got = [s.text(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "score"])
 
-    at = [c for c in documents.columns if c != "score"]  # a column named score gives way
-    documents = documents.select(*at)
-    return documents.mapInArrow(run, StructType([*documents.schema.fields]).add("score", DoubleType()))
+def below(documents: DataFrame, model: tuple[np.ndarray, float] | float, most: float) -> DataFrame:
+    """The rows of documents that score less than `most`, with their own columns only."""
+    if isinstance(model, float):
+        return documents if model < most else documents.limit(0)
+    keep = lambda b, z: b.take(pa.array(np.flatnonzero(z < most), pa.int64()))
+    return _scored(documents, model, documents.schema, keep)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline as P
 import pytest
-from korvane.llm import token_counts
+from korvane.llm import common, token_counts
 from korvane.llm.common import table
 
 from .test_near_dups import all_pairs
@@ -34,6 +34,20 @@ def test_repeats_are_cut(spark, sf, docs):
     assert all(0 <= want[i] - len((r["text"] or "").encode()) <= 6 * len(want) and (r["text"] is None or r["n_chars"] == len(r["text"])) for i, r in got.items())
 
 
+CLASH = ["score", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "blk", "bucket", "kind", "text_there", "component_id", "similarity", "item_id", "pieces", "a", "_carried_0"]
+
+
+def test_columns_that_clash_are_carried(spark, sf, docs):
+    from pyspark.sql import functions as F
+
+    more = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASH))
+    for name, f in P.STAGES[:-1]:
+        out = f(spark, more, sf)
+        assert out.columns == more.columns, name
+        rows = out.select("doc_id", *CLASH).collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASH), name
+
+
 def test_odd_rows_pass(spark, sf, docs):
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (10**9, None, "en", None, None)], docs.schema)
     for _, f in P.STAGES[:-1]:
@@ -45,6 +59,9 @@ def test_run(spark, sf, docs):
     out = P.run(spark, sf).collect()
     sp = token_counts.processor(token_counts.MODEL)
     assert 0 < len(out) < docs.count()
+    left = spark._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+    assert [p for p in common._written] and len(common._written) == 1  # the result; all else is deleted
+    assert {f.getPath().getName() for f in left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left) if f.getPath().getName().startswith("korvane-")} == {p.rsplit("/", 1)[1] for p in common._written}
     stage = docs
     for _, f in P.STAGES[:-1]:
         stage = f(spark, stage, sf)
