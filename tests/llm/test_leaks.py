@@ -92,3 +92,39 @@ def test_hot_edited_group_beside_one_full_copy(spark):
     rows = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert {r["doc_id"] for r in rows} == {1} | set(range(0, 600, 3))
     assert all(r["similarity"] == (1 if r["doc_id"] == 1 else (2 * 33 - 3) / 72) for r in rows)
+
+
+def edited(rng, passage, rate, vocabulary):
+    out = []
+    for w in passage:
+        x = rng.random()
+        out += [rng.choice(vocabulary)] if x < rate / 3 else [] if x < 2 * rate / 3 else [w, rng.choice(vocabulary)] if x < rate else [w]
+    return out
+
+
+def test_equals_all_pairs(spark):
+    """Every document against every item, at all rates of words changed, left out and put in: no pair at FOUND or above is lost."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]  # few words: seeds are common
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 40))] for _ in range(25)]
+    docs = []
+    for d in range(150):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        item = rng.choice(items)
+        at = rng.randint(0, len(w))
+        w[at:at] = edited(rng, item, (d % 11) / 12, vocabulary)
+        docs.append(w)
+    for item in items[:8]:  # each third word changed; a word put in after each; each fourth word changed
+        docs += [[x if i % 3 != 2 else "changed" for i, x in enumerate(item)], [y for x in item for y in (x, "put")], [x if i % 4 != 3 else "changed" for i, x in enumerate(item)]]
+    want = {(d, k): plain(i, w) / (2 * len(i)) for d, w in enumerate(docs) for k, i in enumerate(items)}
+    want = {key: s for key, s in want.items() if s >= L.FOUND}
+    frame = lambda rows, schema: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], schema)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in L.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    assert len(want) > 100 and got.keys() == want.keys()
+    assert all(abs(got[key] - want[key]) < 1e-9 for key in want)
+
+
+def test_repeated_words_and_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "again " * 20_000), (2, "once"), (3, "x " * 30_000 + "a real passage of words that nobody else has " + "y " * 30_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "again " * 100), (2, "a real passage of words that nobody else has"), (3, "once")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in L.leaks(docs, items).collect()} == {(1, 1, 1.0), (3, 2, 1.0), (2, 3, 1.0)}
