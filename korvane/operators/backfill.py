@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from korvane.functions.text import embed_text
 from korvane.functions.vector import check_dim
 from korvane.operators.models import Encoder, encode
 from korvane.sources.schemas import EMBEDDINGS
+from korvane.sources.stored import materialize
 
 INPUT = ["id", "name", "brand", "category", "subcategory", "gender", "season", "style", "color", "material", "description", "tags"]
 
@@ -33,10 +35,10 @@ def cascade_delete(embeddings: DataFrame, products: DataFrame) -> DataFrame:
     return embeddings.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
 
 
-def embed(todo: DataFrame, encoder: Encoder, now: Column | None = None) -> DataFrame:
-    """Rows of vectors for products."""
+def embed(todo: DataFrame, encoder: Encoder, now: Column | None = None, batch: int = 32) -> DataFrame:
+    """Rows of vectors for products, encoded `batch` texts at a time."""
     texts = todo.select(F.col("id").alias("product_id"), embed_text().alias("embedded_text"))
-    rows = encode(texts, encoder, "embedded_text", "embedding")
+    rows = encode(texts, encoder, "embedded_text", "embedding", batch)
     return rows.select("product_id", check_dim(F.col("embedding"), encoder.dim).alias("embedding"), "embedded_text", F.lit(encoder.name).alias("model"), (now if now is not None else F.current_timestamp()).alias("updated_at"))
 
 
@@ -47,7 +49,7 @@ def write_version(df: DataFrame, location: str) -> str:
     return path
 
 
-def backfill(spark: SparkSession, products: DataFrame, embeddings: DataFrame, encoder: Encoder, location: str, deleted: Column | None = None) -> tuple[str | None, int]:
+def backfill(spark: SparkSession, products: DataFrame, embeddings: DataFrame, encoder: Encoder, location: str, deleted: Column | None = None, batch: int = 32) -> tuple[str | None, int]:
     """Embed what is pending and write a new version of the vectors. Returns its folder (None if nothing was pending) and the count.
 
     Running it again after a failure takes up what is still missing."""
@@ -55,7 +57,7 @@ def backfill(spark: SparkSession, products: DataFrame, embeddings: DataFrame, en
     n = todo.count()
     if not n:
         return None, 0
-    rows = embed(todo.select(*INPUT), encoder)
+    rows = embed(todo.select(*INPUT), encoder, batch=batch)
     return write_version(upsert(embeddings.select(*EMBEDDINGS.fieldNames()), rows), location), n
 
 
@@ -65,8 +67,30 @@ def progress(done: int, total: int, seconds: float) -> tuple[float, float]:
     return rate, (total - done) / rate if rate > 0 else 0.0
 
 
+# What columns of a new product hold that it does not name.
+DEFAULTS = {"tenant_id": "demo", "stock": 0}
+
+
+def append(table: DataFrame, rows: DataFrame, order: str = "sku", now: Column | None = None) -> DataFrame:
+    """table and rows, which take the next ids in the order of a unique column and defaults for what they do not name.
+
+    A range shuffle deals rows out in order and each partition counts its own, so ids have no gaps and no task holds them all."""
+    last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    dealt = rows.repartitionByRange(order).sortWithinPartitions(order)
+    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_inside")), "appended")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")  # a row for each partition
+    new = dealt.join(F.broadcast(before), "_part").crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("_before") + F.col("_inside") + 1)
+    time = now if now is not None else F.current_timestamp()
+    there = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    value = {"id": F.col("id"), **{c: F.coalesce(there(c), F.lit(v)) for c, v in DEFAULTS.items()}, **{c: F.coalesce(there(c), time) for c in ("created_at", "updated_at")}}
+    as_type = lambda f: there(f.name) if f.name in rows.columns and isinstance(f.dataType, ArrayType) else value.get(f.name, there(f.name)).cast(f.dataType)
+    return table.unionByName(new.select(*(as_type(f).alias(f.name) for f in table.schema.fields)))
+
+
 def rebuild(df: DataFrame, location: str) -> DataFrame:
-    """Replace a catalog: both tables are emptied and ids begin at 1."""
+    """Replace a catalog: both tables are emptied and ids begin at 1, in the order of sku."""
+    df = append(df.limit(0), df.drop("id"))
     df.write.mode("overwrite").parquet(f"{location}/products")
     df.sparkSession.createDataFrame([], EMBEDDINGS).write.mode("overwrite").parquet(f"{location}/product_embeddings")
     return df.sparkSession.read.schema(df.schema).parquet(f"{location}/products")

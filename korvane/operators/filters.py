@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
-from math import trunc
+from math import isfinite, trunc
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korvane.functions.text import effective_price
@@ -36,7 +36,8 @@ def normalize(raw: dict[str, Any] | None, dialect: str = "strict") -> FilterSpec
 
     strict: only texts filter texts, the empty one too; only numbers bound prices, without their fraction; stock is
     asked for unless in_stock_only is false itself. lenient: empty and zero-like values filter nothing, bounds stay as
-    they are, and stock is asked for if in_stock_only is absent or truthy. Lists and objects filter nothing in either."""
+    they are, texts are read as numbers, and stock is asked for if in_stock_only is absent or truthy. Lists and objects
+    filter nothing in either. A bound that is NaN or infinite, or in lenient a text that is no number, is a ValueError."""
     if dialect not in ("strict", "lenient"):
         raise ValueError(f"no such dialect: {dialect}")
     raw, strict, got = dict(raw or {}), dialect == "strict", {}
@@ -50,10 +51,12 @@ def normalize(raw: dict[str, Any] | None, dialect: str = "strict") -> FilterSpec
         v = raw.get(k)
         if isinstance(v, bool):
             continue
+        if isinstance(v, str) and not strict:
+            v = float(v)
         if isinstance(v, int | float):
+            if not isfinite(v):
+                raise ValueError(f"{k} is not finite: {v}")
             got[k] = trunc(v) if strict else v
-        elif isinstance(v, str) and not strict:
-            got[k] = float(v)
     stock = raw.get("in_stock_only", True)
     got["in_stock_only"] = stock is not False if strict else bool(stock)
     return FilterSpec(**got)
@@ -85,6 +88,13 @@ def all_of(columns: list[Column]) -> Column:
     return out
 
 
+def chip_rows(filters: DataFrame, key: str = "qid") -> DataFrame:
+    """chips() for a table of filter structs: a row of key, name and value for each value that applies."""
+    names = [c for c in filters.columns if c != key]
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
+    return filters.select(key, F.explode(pairs).alias("chip")).select(key, "chip.name", "chip.value").where("value IS NOT NULL")
+
+
 def chips(spec: FilterSpec) -> list[tuple[str, str]]:
     """Key and value of what applies, for display."""
     return [(f.name, str(v)) for f in fields(spec) if (v := asdict(spec)[f.name]) is not None]

@@ -15,7 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from korvane.sources.catalog import CATEGORIES, COLORS
-from korvane.sources.schemas import GENDERS, SEASONS, STYLES
+from korvane.sources.schemas import GENDERS, SEASONS, STYLES, Settings
+
+
+#: What a language model is told first. The two tasks are told apart by these texts.
+PARSE = f"""You turn a request to a clothing shop into JSON and answer with that JSON alone.
+
+{{"filters": {{"category": text or null, "gender": text or null, "season": text or null, "style": text or null, "color": text or null, "price_min": number or null, "price_max": number or null, "in_stock_only": boolean}}, "semantic_query": text}}
+
+category is one of {", ".join(CATEGORIES)}; gender one of {", ".join(GENDERS)}; season one of {", ".join(SEASONS)}; style one of {", ".join(STYLES)}.
+What the request does not say is null. in_stock_only is true unless the request speaks of stock. semantic_query holds what is asked for, in the request's own Korean."""
+RERANK = """You choose clothes for a customer. You get the request as user_query and products as candidates.
+Choose the five that suit it best, the best first, and give one line of reason for each. Answer with JSON alone:
+
+{"recommendations": [{"product_id": whole number, "reason": text}]}"""
 
 
 class Encoder(Protocol):
@@ -47,6 +60,13 @@ class HashingEncoder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def encoder_of(settings: Settings) -> HashingEncoder:
+    """The encoder that the settings name. Only the stand-in is at hand without a network."""
+    if not settings.embed_model.startswith("hashing"):
+        raise ValueError(f"no encoder {settings.embed_model} here; pass one of your own")
+    return HashingEncoder(settings.dim, settings.embed_model)
+
+
 def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "vector", batch: int = 32) -> DataFrame:
     """df with a vector for each text (null for null). The encoder is built once in each Python worker."""
 
@@ -81,7 +101,7 @@ class RuleBased:
     A stand-in: its expectations are its own, and it says nothing about a real model's relevance."""
 
     def chat(self, system: str, user: str, max_tokens: int) -> str:
-        return self.rerank(user) if system == "rerank" else self.parse(user)
+        return self.rerank(user) if system == RERANK else self.parse(user)
 
     def parse(self, text: str) -> str:
         plain = text
@@ -97,7 +117,7 @@ class RuleBased:
 
     def rerank(self, user: str) -> str:
         request = json.loads(user)
-        words = set(request["query"].split())
+        words = set(request["user_query"].split())
         score = lambda c: -len(words & {str(v) for v in c.values()})
         best = sorted(request["candidates"], key=score)[:5]
-        return json.dumps({"recommendations": [{"product_id": c["id"], "reason": str(c["name"])} for c in best]}, ensure_ascii=False)
+        return json.dumps({"recommendations": [{"product_id": c["product_id"], "reason": str(c["name"])} for c in best]}, ensure_ascii=False)

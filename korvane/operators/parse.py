@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korvane.operators.filters import BOUNDS, normalize
-from korvane.operators.models import LanguageModel
+from korvane.operators.models import PARSE, LanguageModel
 from korvane.sources.schemas import FILTERS, RECOMMENDATIONS
 
 
@@ -53,17 +53,19 @@ def parse_filters(reply: str, dialect: str = "strict") -> tuple[dict[str, Any],
 
 
 def parse_recommendations(reply: str, dialect: str = "strict") -> list[dict[str, Any]]:
-    """(product_id, reason) in order. strict: ids as whole numbers, others dropped; lenient: as they are."""
+    """(product_id, reason) in order. strict: ids as whole numbers, others dropped; lenient: as they are. Elements that are no objects go in strict and are an error in lenient."""
     got = load(reply, dialect).get("recommendations")
     if not isinstance(got, list):
         raise ParseError("no recommendations")
     if dialect == "lenient":
+        if not all(isinstance(r, dict) for r in got):
+            raise ParseError("a recommendation is no object")
         return got
     out = []
     for r in got:
         try:
             out.append({"product_id": int(r["product_id"]), "reason": str(r.get("reason") or "")})
-        except (KeyError, TypeError, ValueError):
+        except (KeyError, TypeError, ValueError, OverflowError, AttributeError):
             continue
     return out
 
@@ -101,11 +103,11 @@ def parse_queries(queries: DataFrame, model: LanguageModel, dialect: str = "stri
                 try:
                     if not query or not query.strip():
                         raise ParseError("blank query")
-                    filters, meaning = parse_filters(model.chat("parse", query, max_tokens), dialect)
+                    filters, meaning = parse_filters(model.chat(PARSE, query, max_tokens), dialect)
                     normalize(filters, dialect)  # a map that cannot be read is this query's error
                     rows.append((qid, query, json.dumps(filters, ensure_ascii=False), meaning, None))
-                except (ValueError, KeyError, OverflowError) as e:
-                    rows.append((qid, query, None, None, str(e)))
+                except Exception as e:  # noqa: BLE001  a model may fail in any way; the other queries go on
+                    rows.append((qid, query, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["qid", "query", "filters", "semantic_query", "error"])
 
     return queries.select("qid", "query").mapInPandas(run, f"qid {queries.schema['qid'].dataType.simpleString()}, query string, filters string, semantic_query string, error string")

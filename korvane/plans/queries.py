@@ -11,7 +11,7 @@ from korvane.operators import backfill as B
 from korvane.operators import parse as P
 from korvane.operators import rerank as R
 from korvane.operators import search as S
-from korvane.operators.filters import FilterSpec, all_of, predicates
+from korvane.operators.filters import FilterSpec, all_of, chip_rows, predicates
 from korvane.operators.models import HashingEncoder, RuleBased, encode
 from korvane.plans.recommend import recommend as run_recommend
 from korvane.plans.recommend import recommend_batch as run_recommend_batch
@@ -91,10 +91,10 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve queries: vectors 0 to 11, some with filters."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 12")
-    v = F.col("vec_id")
-    return e.select(v.alias("qid"), F.col("embedding").alias("q"), F.when(v % 3 == 0, "여성").alias("gender"), F.when(v % 4 == 0, "봄").alias("season"), F.when(v % 2 == 1, "신발").alias("category"), F.when(v % 5 == 0, 300000).alias("price_max"))
+    """Every row whose id is divisible by 100, some with filters."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0")
+    v = F.floor(F.col("vec_id") / 100)
+    return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.when(v % 3 == 0, "여성").alias("gender"), F.when(v % 4 == 0, "봄").alias("season"), F.when(v % 2 == 1, "신발").alias("category"), F.when(v % 5 == 0, 300000).alias("price_max"))
 
 
 HITS_SQL = f"""
@@ -183,6 +183,14 @@ def q_upsert(s, d):
     return sums(B.upsert(e, upsert_source(e)))
 
 
+def q_append(s, d):
+    """The products with odd ids are new rows: no id, tenant, stock or times."""
+    p = products(s, d)
+    there = p.where("id % 2 = 0").select("id", "tenant_id", "sku", "price", "stock", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.when(gone(), F.lit("2024-01-01").cast("timestamp")).alias("deleted_at"))
+    new = p.where("id % 2 = 1").select("sku", "price")
+    return B.append(there, new).select("id", "tenant_id", "sku", "price", "stock", F.col("created_at").isNotNull().alias("timed"), F.col("deleted_at").isNotNull().alias("is_deleted"))
+
+
 def q_generate(s, d):
     return generate(s, 10_000).drop("created_at", "updated_at")
 
@@ -253,7 +261,11 @@ QUERIES = {
     "recs_resolved": lambda s, d: R.resolved(replayed(s, d), R.preview(hits(s, d))).select("product_id", "reason", "name"),
     "recs_display": lambda s, d: R.display(replayed(s, d), R.preview(hits(s, d))),
     "recs_display_all": lambda s, d: R.display(replayed(s, d), hits(s, d)),
-    "outbox_pending": lambda s, d: O.pending(outbox_of(s, d)).select("id", "aggregate_id", "event_type", "payload"),
+    "outbox_pending": lambda s, d: O.numbered(O.pending(outbox_of(s, d))).select("place", "id", "aggregate_id", "event_type", "payload"),
+    "recs_count": lambda s, d: replies(s, RECS).select("id", R.chosen_count(P.recommendations_of(F.col("reply"))).alias("chosen")),
+    "filter_chips": lambda s, d: chip_rows(batch_queries(s, d).drop("q")),
+    "hit_view": lambda s, d: rounded(S.view(hits(s, d))),
+    "append_defaults": q_append,
     "generate_catalog": q_generate,
     "embed_backfill": q_embed_backfill,
     "recommend": q_recommend,
@@ -262,7 +274,13 @@ QUERIES = {
 }
 
 CTE = f"WITH {PRODUCTS_SQL}, {VECTORS_SQL} "
-PAYLOAD_SQL = WITH_HITS + "SELECT id, '{{\"id\":' || id || ',\"name\":\"' || name || '\",\"category\":\"' || category || '\",\"subcategory\":\"' || subcategory || '\",\"style\":\"' || style || '\",\"color\":\"' || color || '\",\"season\":\"' || season || '\",\"gender\":\"' || gender || '\",\"price\":' || {price}{stock} || '}}' AS payload FROM hits"
+QUOTED = ", ".join(f"'\"{c}\":', coalesce('\"' || {c} || '\"', 'null'), ','" for c in ("name", "category", "subcategory", "gender", "season", "style", "color"))
+PAYLOAD_SQL = WITH_HITS + "SELECT id, concat('{{\"product_id\":', id, ',', " + QUOTED + ", '\"price\":', {price}{stock}, '}}') AS payload FROM hits"
+REPORT_SQL = (
+    WITH_HITS + ", r AS (SELECT CAST(row_number() OVER (ORDER BY distance NULLS LAST, id) AS INT) AS rank, *, coalesce(sale_price, price) AS shown FROM hits) "
+    "SELECT rank, lpad(CAST(rank AS VARCHAR), 2, ' ') || '. [' || printf('%.3f', 1 - distance) || '] ' || coalesce(name, 'None') AS head, "
+    "'     ' || coalesce(category, 'None') || '/' || coalesce(subcategory, 'None') || ', ' || " + " || ', ' || ".join(f"coalesce({c}, 'None')" for c in ("gender", "season", "style", "color")) + " || ', ' || format('{:,}', shown) || '원' AS tail FROM r WHERE rank <= 10"
+)
 DISPLAY_SQL = RECS_SQL + "SELECT product_id, reason, coalesce(name, concat('상품 ', product_id)) AS name, coalesce(sale_price, price) AS price FROM recs LEFT JOIN {shown} s ON s.id = product_id"
 
 SQL = {
@@ -274,7 +292,7 @@ SQL = {
     "round_price": CTE + "SELECT id, CAST(floor(price * 2 / 1000) AS BIGINT) * 1000 + 900 AS rounded FROM products",
     "cosine_distance": CTE + f", q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = {VECTOR}) SELECT product_id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), v), 6) AS distance, round(1 - list_cosine_distance(CAST(embedding AS DOUBLE[]), v), 6) AS similarity FROM product_embeddings, q",
     "vector_search": WITH_HITS + f"SELECT {COLUMNS}, round(distance, 6) AS distance FROM hits",
-    "vector_search_batch": CTE + """, q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN vec_id % 3 = 0 THEN '여성' END AS g, CASE WHEN vec_id % 4 = 0 THEN '봄' END AS s, CASE WHEN vec_id % 2 = 1 THEN '신발' END AS c, CASE WHEN vec_id % 5 = 0 THEN 300000 END AS m FROM embeddings WHERE vec_id < 12),
+    "vector_search_batch": CTE + """, q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN vec_id // 100 % 3 = 0 THEN '여성' END AS g, CASE WHEN vec_id // 100 % 4 = 0 THEN '봄' END AS s, CASE WHEN vec_id // 100 % 2 = 1 THEN '신발' END AS c, CASE WHEN vec_id // 100 % 5 = 0 THEN 300000 END AS m FROM embeddings WHERE vec_id % 100 = 0),
       x AS (SELECT qid, id, list_cosine_distance(CAST(embedding AS DOUBLE[]), v) AS distance FROM products JOIN product_embeddings ON product_id = id CROSS JOIN q
             WHERE NOT is_deleted AND stock > 0 AND (g IS NULL OR gender IN (g, '공용')) AND (s IS NULL OR season IN (s, '사계절')) AND (c IS NULL OR category = c) AND (m IS NULL OR coalesce(sale_price, price) <= m)),
       r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, id) AS INT) AS rank, id, distance FROM x)
@@ -291,10 +309,15 @@ SQL = {
     "strip_fence": f"SELECT CAST(id AS INT) AS id, CASE WHEN starts_with(reply, '```') THEN {FENCE_SQL} ELSE reply END AS strict, CASE WHEN starts_with(reply, '```') THEN trim(regexp_replace(split_part(reply, '```', 2), '^json', ''), E' \\n') ELSE reply END AS lenient FROM (VALUES {values(REPLIES)}) t(id, reply)",
     "parse_filters": f"WITH t AS (SELECT CAST(id AS INT) AS id, CAST(CASE WHEN starts_with(reply, '```') THEN {FENCE_SQL} ELSE reply END AS JSON) AS j FROM (VALUES {values(REPLIES)}) t(id, reply)) SELECT id, j->'filters'->>'category' AS category, j->'filters'->>'gender' AS gender, j->'filters'->>'color' AS color, CAST(j->'filters'->>'price_max' AS INT) AS price_max, CAST(j->'filters'->>'in_stock_only' AS BOOLEAN) AS in_stock_only, j->>'semantic_query' AS semantic_query FROM t",
     "parse_recs": f"WITH t AS (SELECT CAST(id AS INT) AS id, unnest(CAST(CAST(reply AS JSON)->'recommendations' AS JSON[])) AS r FROM (VALUES {values(RECS)}) t(id, reply)), u AS (SELECT id, TRY_CAST(r->>'product_id' AS BIGINT) AS product_id, r->>'reason' AS reason FROM t) SELECT * FROM u WHERE product_id IS NOT NULL",
-    "rerank_payload": PAYLOAD_SQL.format(price="coalesce(nullif(sale_price, 0), price)", stock=" || ',\"stock\":' || stock"),
+    "rerank_payload": PAYLOAD_SQL.format(price="coalesce(nullif(sale_price, 0), price)", stock=", ',\"stock\":', stock"),
     "rerank_payload_strict": PAYLOAD_SQL.format(price="coalesce(sale_price, price)", stock=""),
     "recs_resolved": RECS_SQL + "SELECT product_id, reason, name FROM recs JOIN (SELECT * FROM r WHERE rank <= 5) s ON s.id = product_id",
     "recs_display": DISPLAY_SQL.format(shown="(SELECT * FROM r WHERE rank <= 5)"),
     "recs_display_all": DISPLAY_SQL.format(shown="r"),
-    "outbox_pending": "SELECT event_id AS id, user_id AS aggregate_id, event_type, props AS payload FROM events WHERE event_id % 4 = 0",
+    "hit_report": REPORT_SQL,
+    "recs_count": f"WITH t AS (SELECT CAST(id AS INT) AS id, unnest(CAST(CAST(reply AS JSON)->'recommendations' AS JSON[])) AS r FROM (VALUES {values(RECS)}) t(id, reply)) SELECT i.id, CAST(count(TRY_CAST(r->>'product_id' AS BIGINT)) AS INT) AS chosen FROM (SELECT CAST(id AS INT) AS id FROM (VALUES {values(RECS)}) t(id, reply)) i LEFT JOIN t ON t.id = i.id GROUP BY i.id",
+    "filter_chips": "WITH q AS (SELECT vec_id AS qid, CASE WHEN vec_id // 100 % 3 = 0 THEN '여성' END AS gender, CASE WHEN vec_id // 100 % 4 = 0 THEN '봄' END AS season, CASE WHEN vec_id // 100 % 2 = 1 THEN '신발' END AS category, CASE WHEN vec_id // 100 % 5 = 0 THEN '300000' END AS price_max FROM embeddings WHERE vec_id % 100 = 0) SELECT qid, name, value FROM q UNPIVOT (value FOR name IN (gender, season, category, price_max))",
+    "hit_view": WITH_HITS + f"SELECT {', '.join(c for c in CANDIDATE if c != 'sku')}, round(distance, 6) AS distance FROM hits",
+    "append_defaults": CTE + ", p AS (SELECT *, row_number() OVER (ORDER BY sku) AS n FROM products WHERE id % 2 = 1) SELECT n + (SELECT max(id) FROM products WHERE id % 2 = 0) AS id, 'demo' AS tenant_id, sku, price, 0 AS stock, true AS timed, false AS is_deleted FROM p UNION ALL SELECT id, tenant_id, sku, price, stock, false, is_deleted FROM products WHERE id % 2 = 0",
+    "outbox_pending": "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS place, event_id AS id, user_id AS aggregate_id, event_type, props AS payload FROM events WHERE event_id % 4 = 0",
 }

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korvane.operators.backfill import embed
 from korvane.operators.models import Encoder
+from korvane.sources.stored import materialize
 
 
 def pending(outbox: DataFrame, most_retries: int | None = None) -> DataFrame:
@@ -21,6 +22,16 @@ def pending(outbox: DataFrame, most_retries: int | None = None) -> DataFrame:
     return out.orderBy("created_at", "id")
 
 
+def numbered(events: DataFrame) -> DataFrame:
+    """events with `place`, from 1, in the order in which they are polled. Events are counted by range of time first, so no task holds them all."""
+    spread = events.repartitionByRange("created_at", "id").sortWithinPartitions("created_at", "id")
+    part = spread.withColumn("part", F.spark_partition_id()).withColumn("inside", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    part = materialize(part, "polled")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = part.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")  # a row for each partition
+    return part.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("inside") + 1).drop("part", "inside", "before")
+
+
 def settled(outbox: DataFrame, results: DataFrame, now) -> DataFrame:
     """outbox after results (id, error): no error marks an event processed, an error is kept and counted."""
     out = outbox.join(results.select("id", "error", F.lit(True).alias("tried")), "id", "left")

@@ -72,3 +72,20 @@ def test_recommendations():
     assert parse_recommendations(reply, "lenient")[0]["product_id"] == "12"
     with pytest.raises(ParseError):
         parse_recommendations("{}")
+
+
+@pytest.mark.parametrize("raw", [{"price_min": float("nan")}, {"price_max": float("inf")}])
+@pytest.mark.parametrize("dialect", ["strict", "lenient"])
+def test_bounds_that_are_no_numbers(raw, dialect):
+    with pytest.raises(ValueError):
+        normalize(raw, dialect)
+    assert normalize({"price_max": "cheap"}) == FilterSpec()
+    with pytest.raises(ValueError):
+        normalize({"price_max": "cheap"}, "lenient")
+
+
+def test_elements_that_are_no_objects():
+    reply = '{"recommendations": [5, {"product_id": 3, "reason": "r"}, null]}'
+    assert parse_recommendations(reply) == [{"product_id": 3, "reason": "r"}]
+    with pytest.raises(ParseError):
+        parse_recommendations(reply, "lenient")
