@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korvane.sources.stored import arrow_batches, discard, hold, materialize, shared_dir, sweep  # noqa: F401  used from here throughout the package
+
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
-BATCH_BYTES = "8m"
 #: So many ids (or pairs of short columns) may be sent to all tasks: some 20 MB.
 SMALL = 500_000
 
@@ -23,94 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    Where that is unset, a folder of our own serves a local session; on a cluster there is no such folder, so it is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "/tmp/korvane-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def arrow_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes too: texts may be very long. A session that has its own bound keeps it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.conf.isModifiable(key) or spark.sparkContext.getConf().contains(key):
-        return
-    spark.conf.set(key, BATCH_BYTES)
-
-
-_written: dict[str, None] = {}  # in order
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    arrow_batches(spark)
-    path = f"{shared_dir(spark)}/korvane-{name}-{uuid.uuid4().hex}"
-    _written[path] = None
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._korvane_path = path
-    return out
-
-
-_held: list[DataFrame] = []
-
-
-def hold(df: DataFrame) -> DataFrame:
-    """persist() until sweep(): executors keep df, and what a lost one kept is computed again."""
-    arrow_batches(df.sparkSession)
-    _held.append(df.persist())
-    return df
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written.pop(path, None)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote, once nothing reads them any more."""
-    for df in tables:
-        path = getattr(df, "_korvane_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-
-
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all tables of this driver but those in keep, and let go of what hold() keeps. For callers who have written a lazy result: it may read either until then."""
-    while _held:
-        _held.pop().unpersist()
-    kept = {getattr(df, "_korvane_path", None) for df in keep}
-    for path in [p for p in _written if p not in kept]:
-        _delete(spark, path)
-
-
-@atexit.register
-def _at_exit() -> None:
-    """What lazy results still read goes with the driver."""
-    spark = SparkSession.getActiveSession() if _written else None
-    if spark is not None:
-        with contextlib.suppress(Exception):  # the JVM may have ended before
-            sweep(spark)
-
-
 def sent(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast if they are counted to be SMALL rows or fewer. For narrow tables that are written already."""
     return F.broadcast(ids) if ids.count() <= SMALL else ids
 
 
 def release() -> None:
-    """Give unused memory back: Python workers are kept for later stages."""
+    """Give unused memory back to the machine: Python workers are kept for later stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:

@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from korvane.llm.common import slices, table
+from korvane.llm.common import arrow_batches, release, slices, table
 from korvane.llm.token_counts import MODEL, processor
 
 MARK = "▁"
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 500_000
 LONGEST_CACHED = 48
 
 
@@ -210,26 +211,19 @@ class Pieces:
         return out[1:].decode("utf-8", "replace") if out[:1] == b" " else out.decode("utf-8", "replace")
 
 
-_models: dict[str, Pieces] = {}
-
-
-def pieces(model: str) -> Pieces:
-    if model not in _models:
-        _models[model] = Pieces(processor(model))
-    return _models[model]
-
-
 def _mapped(documents: DataFrame, make, column: str, kind: str, arrow: pa.DataType, model: str, source: str, most: int = 4 << 20) -> DataFrame:
     at = [c for c in documents.columns if c != column]  # a column of the result's name gives way
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pieces(model)
+        m = Pieces(processor(model))  # with its caches it ends with the task: workers are kept for later stages
         for b in batches:
             for part in slices(b, most, source) if pa.types.is_string(b.schema.field(source).type) or pa.types.is_large_string(b.schema.field(source).type) else [b]:
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in at), pa.array(make(m, part.column(part.schema.get_field_index(source)).to_pylist()), arrow)], [*at, column])
 
-    from pyspark.sql.types import StructType, _parse_datatype_string
+        del m
+        release()
 
+    arrow_batches(documents.sparkSession)
     return documents.mapInArrow(run, StructType([*documents.select(*at).schema.fields]).add(column, _parse_datatype_string(kind)))
 
 

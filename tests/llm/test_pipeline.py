@@ -6,6 +6,7 @@ import corpus_pipeline as P
 import pytest
 from korvane.llm import common, token_counts
 from korvane.llm.common import table
+from korvane.sources import stored
 
 from .test_near_dups import all_pairs
 from .test_repeats import every_string
@@ -60,8 +61,8 @@ def test_run(spark, sf, docs):
     sp = token_counts.processor(token_counts.MODEL)
     assert 0 < len(out) < docs.count()
     left = spark._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
-    assert [p for p in common._written] and len(common._written) == 1  # the result; all else is deleted
-    assert {f.getPath().getName() for f in left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left) if f.getPath().getName().startswith("korvane-")} == {p.rsplit("/", 1)[1] for p in common._written}
+    assert [p for p in stored._written] and len(stored._written) == 1  # the result; all else is deleted
+    assert {f.getPath().getName() for f in left.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(left) if f.getPath().getName().startswith("korvane-")} == {p.rsplit("/", 1)[1] for p in stored._written}
     stage = docs
     for _, f in P.STAGES[:-1]:
         stage = f(spark, stage, sf)
