@@ -15,8 +15,11 @@ A path inherits, if it has no licence of its own, from the nearest directory abo
 licence file; of several the most alike decides, then the smaller path. Only distinct directories are paired with
 their ancestors, and one row for each licensed directory answers them.
 
-Defined cases: null and empty texts have no licence of their own; a null path is the root's child with an empty name;
-paths may repeat, each row is answered; other columns are carried along.
+Defined cases: null and empty texts have no licence of their own; very long texts are read whole, in Arrow batches bounded
+by bytes; a null path is the root's child with an empty name; paths may repeat, each row is answered; licence files of one
+directory that are equally alike go by path, then by licence; an empty table gives no rows; other columns are carried
+along, but those named like the result's (own_license, own_licenses, similarity, license_file, license, inherited_from,
+directory) give way.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from korvane.llm.common import materialize, table
+from korvane.llm.common import arrow_batches, materialize, sent, table
 
 ALIKE = 0.6
 RUN = 0.3
@@ -61,6 +64,14 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("proprietary", "All rights reserved."),
 ]
 
@@ -190,6 +201,7 @@ class Scanner:
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     """All columns of files but text, and own_license, own_licenses, similarity, license_file. Two passes over the texts, no shuffle of them."""
     spark = files.sparkSession
+    arrow_batches(spark)
     vocabulary = {w for _, t in templates for w in terms(t)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +216,7 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]]) -> DataFram
     rows = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the templates
     held = {r["term"]: r["n"] for r in rows}
     texts = held.pop("", 0)
-    at = [c for c in files.columns if c not in ("text", "own_license", "own_licenses", "similarity", "license_file")]
+    at = [c for c in files.columns if c not in ("text", "own_license", "own_licenses", "similarity", "license_file", "license", "inherited_from", "directory")]
     sent = spark.sparkContext.broadcast(full_texts())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +243,8 @@ def licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) ->
     asked = own.where("own_license IS NULL").select("directory").distinct()
     pairs = asked.select(F.col("directory").alias("below"), F.explode(F.array_distinct(above)).alias("directory"))
     nearest = pairs.join(licensed, "directory").groupBy("below").agg(F.max_by(F.struct("directory", "from_license"), F.length("directory")).alias("near"))
-    out = own.join(nearest.withColumnRenamed("below", "directory"), "directory", "left")
+    nearest = materialize(nearest.withColumnRenamed("below", "directory"), "nearest")
+    out = own.join(sent(nearest), "directory", "left")
     return out.withColumn("license", F.coalesce("own_license", "near.from_license")).withColumn("inherited_from", F.when(F.col("own_license").isNull(), F.col("near.directory"))).drop("near", "directory")
 
 

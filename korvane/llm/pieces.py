@@ -14,8 +14,9 @@ of the prefix that it shares with the one before it and computes only the rest.
 
 Characters without a piece become the pieces of their bytes. Decoding joins pieces and takes the first mark away.
 
-Defined cases: a null or empty text has no pieces; a null doc_id is kept; repeated rows are encoded each; texts of
-any length are encoded whole; other columns are not touched.
+Defined cases: a null or empty text has no pieces, and null pieces decode to null; a null doc_id is kept; repeated rows
+and equal texts are encoded each; texts of any length are encoded whole; an empty table gives no rows; other columns are
+carried, but one named like the result's (pieces, decoded) gives way; digest() reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -238,16 +239,16 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digest(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip: decoding gives the text back."""
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text back) and the pieces."""
 
     def make(m: Pieces, texts: list[str | None]) -> list[dict]:
         out = []
         for t, ids in zip(texts, m.encode(texts), strict=True):
-            out.append({"n": len(ids) // 4, "crc": zlib.crc32(ids), "ok": m.decode(np.frombuffer(ids, np.int32).tolist()) == (t or "").replace(MARK, " ")})
+            out.append({"n": len(ids) // 4, "crc": zlib.crc32(ids), "ok": m.decode(np.frombuffer(ids, np.int32).tolist()) == (t or "").replace(MARK, " "), "pieces": np.frombuffer(ids, np.int32)})
         return out
 
-    got = _mapped(documents.select("doc_id", "text"), make, "d", "n long, crc long, ok boolean", pa.struct([("n", pa.int64()), ("crc", pa.int64()), ("ok", pa.bool_())]), model, "text")
-    return got.select("doc_id", F.col("d.n").alias("n_tokens"), F.col("d.crc").alias("ids_crc32"), F.col("d.ok").alias("round_trip"))
+    got = _mapped(documents.select("doc_id", "text"), make, "d", "n long, crc long, ok boolean, pieces array<int>", pa.struct([("n", pa.int64()), ("crc", pa.int64()), ("ok", pa.bool_()), ("pieces", pa.list_(pa.int32()))]), model, "text")
+    return got.select("doc_id", F.col("d.n").alias("n_tokens"), F.col("d.crc").alias("ids_crc32"), F.col("d.ok").alias("round_trip"), "d.pieces")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

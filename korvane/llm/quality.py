@@ -8,9 +8,11 @@ curve, fitted on labelled texts that the dictionaries have not seen, turns that
 Fitting uses a bounded sample: of each class at most SAMPLE_PER_CLASS labelled rows, those with the smallest hashes;
 half of them, in at most DICTIONARY_BLOCKS blocks a class (again by hash), build the dictionaries, the others the curve.
 
-Defined cases: a null or empty text scores what the curve gives for no difference; a null doc_id is kept and is not
-held out; repeated rows are scored each; null labels are not learned; without both classes, or with too little text
-for a dictionary, every text scores the share of label 1 (1 without labels).
+Defined cases: a null or empty text scores what the curve gives for no difference; very long texts are compressed whole,
+block by block; a null doc_id is kept and is not held out; repeated rows and equal texts are scored each, alike; labels
+that are null, or not 0 or 1, are not learned, and of labels that repeat a doc_id each class counts; without both classes,
+or with too little text for a dictionary, every text scores the share of label 1 (1 without labels); empty tables give
+no rows; other columns are carried, but those named difference or score give way.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from korvane.llm.common import curve, held_out, slices, table
+from korvane.llm.common import arrow_batches, curve, held_out, slices, table
 
 BLOCK = 2048
 LEVEL = 3
@@ -56,6 +58,7 @@ _compressors: dict[int, Compressors] = {}
 
 def difference(documents: DataFrame, good: bytes, bad: bytes) -> DataFrame:
     """All columns of documents and `difference` double. One pass, no shuffle; the two dictionaries are sent out."""
+    arrow_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast((good, bad))
     key = zlib.crc32(good + bad)
     at = [c for c in documents.columns if c != "difference"]

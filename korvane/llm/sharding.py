@@ -14,8 +14,9 @@ shard by a hash of doc_id; any other group is one neighbourhood.
           buckets of about ROWS rows, so no task orders a whole shard.
 
 Defined cases: null and empty texts have size 8 and crc 0; null texts are linked with nothing, empty ones with each
-other; rows with a null doc_id are placed like others; rows that repeat doc_id and text are interchangeable; an empty
-table gives no rows; other columns are not read. grown_shard is null: it belongs to law `key`.
+other; very long texts count by their hash alone; rows with a null doc_id are placed like others; rows that repeat doc_id
+and text are interchangeable, ties in order go by hash; an empty table gives no rows; other columns are not read, so their
+names cannot clash. grown_shard is null: it belongs to law `key`.
 """
 
 from __future__ import annotations

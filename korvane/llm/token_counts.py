@@ -12,7 +12,9 @@ b all adjacent pairs occur in the left chunk's encoding, right of b in the right
 Where an overlap has no such boundary it is widened fourfold; once it would cover the whole left chunk, the text is
 encoded in one piece.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; a null doc_id is kept; repeated rows are counted each.
+Defined cases: a null or empty text has 0 bytes and 0 tokens; very long texts are counted whole, in chunks; a null doc_id
+is kept; repeated rows and equal texts are counted each; an empty table gives no rows; other columns are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korvane.llm.common import table
+from korvane.llm.common import arrow_batches, table
 
 MODEL = "piece_bpe_32k.model"
 HUGE = 32_768
@@ -95,8 +97,9 @@ def count(sp, text: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OV
     return total + int(tokens[-1]) - before
 
 
-def token_counts(documents: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
+def token_counts(documents: DataFrame, model: str = MODEL, limit: int = LIMIT, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row. One pass, no shuffle."""
+    arrow_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
@@ -104,9 +107,9 @@ def token_counts(documents: DataFrame, model: str = MODEL, limit: int = LIMIT) -
             got = []
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                short = [t for t in texts if len(t) <= HUGE]
+                short = [t for t in texts if len(t) <= huge]
                 counted = iter([len(x) for x in sp.encode(short, num_threads=1)] if short else [])
-                got += [next(counted) if len(t) <= HUGE else count(sp, t) for t in texts]
+                got += [next(counted) if len(t) <= huge else count(sp, t, huge, chunk, overlap) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(got, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = documents.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 from korvane.llm.common import table
-from korvane.llm.licenses import full_texts, licenses, op10_licenses
+from korvane.llm.licenses import ALIKE, TEMPLATES, full_texts, licenses, op10_licenses, terms
 
 APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
 MIT = "Released under the MIT License."
@@ -61,3 +63,73 @@ def test_full_texts_are_licence_files_and_inherited(spark):
     assert got["both/LICENSE"]["license_file"] and set(got["both/LICENSE"]["own_licenses"]) == {"MIT", "Apache-2.0"}
     assert got["h/x.py"]["own_license"] == "MIT" and not got["h/x.py"]["license_file"]
     assert got["edited/LICENSE"]["own_license"] == "BSD-3-Clause" and got["edited/LICENSE"]["license_file"]
+
+
+def test_units_equal_a_plain_cosine(spark):
+    """Single lines against every template by dense vectors over all terms."""
+    from collections import Counter
+    from math import log, sqrt
+
+    rng = random.Random(5)
+    lines = []
+    for _ in range(150):
+        words = rng.choice(TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = rng.choice(["word", "license", "other", "the", "2", "software"])
+        lines.append(" ".join(words))
+    held, n = Counter(w for t in lines for w in set(terms(t))), len(lines)
+    known = {w for _, t in TEMPLATES for w in terms(t)}
+    weight = lambda w: log((1 + n) / (1 + (held[w] if w in known else 1))) + 1
+    vector = lambda t: {w: c * weight(w) for w, c in Counter(terms(t)).items()}
+    norm = lambda v: sqrt(sum(x * x for x in v.values()))
+    got = of(spark, [(f"p{i}", t) for i, t in enumerate(lines)])
+    for i, t in enumerate(lines):
+        a, best = vector(t), (0.0, None)
+        for k, x in TEMPLATES:
+            b = vector(x)
+            c = sum(v * b.get(w, 0) for w, v in a.items()) / (norm(a) * norm(b))
+            if c > best[0] + 1e-12:
+                best = (c, k)
+        r = got[f"p{i}"]
+        if best[0] >= ALIKE:
+            assert r["own_license"] == best[1] and abs(r["similarity"] - best[0]) < 1e-9
+        else:
+            assert r["own_license"] is None
+
+
+def test_inheritance_equals_a_walk_up(spark):
+    rng = random.Random(6)
+    rows = {}
+    for i in range(300):
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+        rows[f"{folder}/f{i}".lstrip("/")] = rng.choice([CODE, CODE, CODE, MIT, APACHE, "Licensed under CC BY 4.0.", f"{MIT}\n{CODE}"])
+    got = of(spark, list(rows.items()))
+    files = {}
+    for p, r in sorted(got.items()):
+        if r["license_file"]:
+            d = p.rpartition("/")[0]
+            files[d] = min(files.get(d, (9, "", "")), (-r["similarity"], p, r["own_license"]))
+    for p, r in got.items():
+        want, d = (r["own_license"], None), p.rpartition("/")[0]
+        while want[0] is None:
+            if d in files:
+                want = (files[d][2], d)
+            if not d or want[0]:
+                break
+            d = d.rpartition("/")[0]
+        assert (r["license"], r["inherited_from"]) == want
+
+
+def test_very_long_texts_ties_and_repeats(spark):
+    long = "\n".join([CODE] * 300) + f"\n{MIT}\n" + "x" * 500_000
+    rows = [("a/LICENSE", MIT), ("a/COPYING", MIT), ("a/x", CODE), ("a/x", CODE), ("b/long", long)]
+    df = spark.createDataFrame([(p, t, "s") for p, t in rows], "path string, text string, inherited_from string")
+    got = licenses(df).collect()
+    assert len(got) == 5 and [(r["license"], r["inherited_from"]) for r in got if r["path"] == "a/x"] == [("MIT", "a")] * 2
+    assert [(r["license"], r["license_file"]) for r in got if r["path"] == "b/long"] == [("MIT", False)]
+
+
+def test_short_notices(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    got = of(spark, [("isc", isc), ("un", "This is free and unencumbered software released into the public domain."), ("z", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors\nbe held liable for any damages arising from the use of this software."), ("b", "SPDX-License-Identifier: BSD-2-Clause")])
+    assert {k: r["own_license"] for k, r in got.items()} == {"isc": "ISC", "un": "Unlicense", "z": "Zlib", "b": "BSD-2-Clause"}

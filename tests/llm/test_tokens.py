@@ -32,6 +32,17 @@ def test_counts(spark, sf, sp):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()} == {i: len(sp.encode(t or "")) for i, t in texts.items()}
 
 
+def test_the_whole_query_in_small_chunks(spark, sf, sp):
+    docs = table(spark, sf, "documents")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, huge=300, chunk=200, overlap=16).collect()}
+    assert got == {r["doc_id"]: len(sp.encode(r["text"] or "")) for r in docs.collect()}
+
+
+def test_digest_has_the_pieces(spark, sf, sp):
+    for r in pieces.op5_sentencepiece(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").collect():
+        assert r["pieces"] == sp.encode(r["text"] or "") and r["n_tokens"] == len(r["pieces"])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_chunks_are_spliced_exactly(sp, seed):
     rng = random.Random(seed)
