@@ -37,7 +37,7 @@ DIM = 4
 SAMPLE_PER_CLASS = 1500
 EPOCHS, RATE, START = 6, 1.0, 0.001
 CALIBRATE = 4
-CACHED_WORDS = 100_000
+CACHED_WORDS = 300_000
 #: A document is toxic from this score on.
 TOXIC = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
