@@ -43,8 +43,8 @@ def ranked(df: DataFrame, by: list[str], order: list[str], buckets: int) -> Data
     return spread.withColumn("inside", inside).join(offsets, part).withColumn("place", F.col("offset") + F.col("inside") - 1).drop("offset", "inside", "bucket")
 
 
-def propagate(rows: DataFrame, quota: DataFrame, step: int) -> DataFrame:
-    """One round: rows (sha, part, linked, shard, ...) with new shards."""
+def propagate(rows: DataFrame, quota: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """One round: rows (sha, part, linked, shard, ...) with new shards; and the written counts that they are made from."""
     spark = rows.sparkSession
     linked = rows.where("linked")
     counts = linked.groupBy("sha", "part", "shard").agg(F.count("*").alias("n"))
@@ -58,7 +58,7 @@ def propagate(rows: DataFrame, quota: DataFrame, step: int) -> DataFrame:
     lanes = aims.groupBy("aim", "lane").agg(F.sum("movers").alias("movers")).withColumn("upto", F.sum("movers").over(sums))
     open_ = lanes.join(room.withColumnRenamed("shard", "aim"), "aim").where("upto <= room").select("aim", "lane")  # at most SHARDS * LANES rows
     moves = aims.join(F.broadcast(open_), ["aim", "lane"]).select("sha", "part", "aim")
-    return rows.join(moves, ["sha", "part"], "left").withColumn("shard", F.coalesce(F.col("aim"), F.col("shard"))).drop("aim")
+    return rows.join(moves, ["sha", "part"], "left").withColumn("shard", F.coalesce(F.col("aim"), F.col("shard"))).drop("aim"), counts
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -78,11 +78,14 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.greatest(F.ceil(F.coalesce("times", F.lit(1)) / half), F.lit(1)).cast("long")))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).cast("int")).drop("times", "there")
     rows = materialize(rows, "labels")
+    discard(docs)
     for step in range(rounds):
-        rows, before = materialize(propagate(rows, quota, step), "labels"), rows
-        discard(before)
+        moved, counts = propagate(rows, quota, step)
+        rows, before = materialize(moved, "labels"), rows
+        discard(before, counts)
     buckets = max(1, n // shards // ROWS)
     placed = materialize(ranked(rows.withColumn("single", (~F.col("linked")).cast("int")), ["shard"], ["single"], buckets).join(F.broadcast(quota), "shard"), "placed")
+    discard(rows)
     stay = placed.where("place < quota")
     # what exceeds a quota, in one order, meets the gaps of the other shards, in one order
     gaps = quota.join(stay.groupBy("shard").agg(F.count("*").alias("held")), "shard", "left").select("shard", (F.col("quota") - F.coalesce("held", F.lit(0))).alias("gap"))

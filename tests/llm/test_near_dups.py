@@ -5,8 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from korvane.llm import near_dups
 from korvane.llm.common import table
 from korvane.llm.graph import components
 from korvane.llm.near_dups import near_duplicates
@@ -65,6 +69,41 @@ def test_equals_all_pairs(spark):
     assert sorted(map(tuple, near_duplicates(df).collect())) == all_pairs(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_groups_in_chunks(spark, monkeypatch, rounds):
+    """Groups of more than GROUP nodes meet chunk by chunk, and what the trees leave is found by the rest."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    rows = []
+    for i in range(70):  # one group of near copies, of which many are not linked to each other
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dups, "GROUP", 8)
+    monkeypatch.setattr(near_dups, "ROUNDS", rounds)
+    want = all_pairs(rows)
+    assert 1 < sum(kept for *_, kept in want) < 70
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 3000), st.floats(0.75, 1), st.integers(0, 2**32))
+def test_odd_sketches_pass_linked_sets(n, s, seed):
+    rng = np.random.default_rng(seed)
+    both = max(1, int(np.ceil(s * n)))
+    rest = n - both
+    own = int(rng.integers(0, rest + 1))
+    h = rng.integers(0, 2**63, n, dtype=np.uint64)
+    x, y = h[: both + own], np.r_[h[:both], h[both + own :]]
+    a, b = (np.frombuffer(near_dups.odd_sketch(v), np.uint64) for v in (x, y))
+    m = min(len(a), len(b)) * 64
+    fold = lambda v: np.bitwise_xor.reduce(v.reshape(-1, m // 64), axis=0)
+    differ = int(np.bitwise_count(fold(a) ^ fold(b)).sum())
+    assert near_dups.may_link(*(np.array([v]) for v in (len(x), len(y), differ, m)))[0]
+
+
 def test_equals_all_pairs_on_documents(spark, sf):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     assert sorted(map(tuple, near_duplicates(docs).collect())) == all_pairs([tuple(r) for r in docs.collect()])
