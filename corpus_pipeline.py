@@ -50,7 +50,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left."""
-    rows = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    rows = pieces.encode(docs.select("doc_id", "lang", "source", "text"), most=2 << 20)
     return rows.select("doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_tokens"), "pieces")
 
 

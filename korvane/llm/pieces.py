@@ -228,9 +228,9 @@ def _mapped(documents: DataFrame, make, column: str, kind: str, arrow: pa.DataTy
     return documents.mapInArrow(run, StructType([*documents.select(*at).schema.fields]).add(column, _parse_datatype_string(kind)))
 
 
-def encode(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """All columns of documents and `pieces` array<int>."""
-    return _mapped(documents, lambda m, texts: [np.frombuffer(x, np.int32) for x in m.encode(texts)], "pieces", "array<int>", pa.list_(pa.int32()), model, "text")
+def encode(documents: DataFrame, model: str = MODEL, most: int = 4 << 20) -> DataFrame:
+    """All columns of documents and `pieces` array<int>. About `most` bytes of text are encoded at one time: more share more prefixes, and take more memory."""
+    return _mapped(documents, lambda m, texts: [np.frombuffer(x, np.int32) for x in m.encode(texts)], "pieces", "array<int>", pa.list_(pa.int32()), model, "text", most)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
