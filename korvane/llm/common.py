@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korvane.sources.stored import arrow_batches, discard, hold, materialize, shared_dir, sweep  # noqa: F401  used from here throughout the package
@@ -18,6 +18,8 @@ M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
 #: So many ids (or pairs of short columns) may be sent to all tasks: some 20 MB.
 SMALL = 500_000
+#: Bytes of keys that may be sent with them.
+SENT_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,3 +100,27 @@ def curve(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
 def held_out(doc_id: str = "doc_id"):
     """True for the rows whose labels must not be learned. A null id is nobody's label: false."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def in_order(df: DataFrame, order: list[str], name: str, then=None) -> DataFrame:
+    """df as a written table with `_part` and `_inside`: parts are ranges of `order`, `_inside` counts from 0 within a part.
+
+    A range shuffle deals a hot first column out by the later ones, so no task holds it alone. then: a function of the sorted
+    frame, applied before the table is written."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = then(dealt) if then else dealt
+    return materialize(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_inside")), name)
+
+
+def numbered(dealt: DataFrame, by: str) -> DataFrame:
+    """in_order()'s rows with `pos`, gapless from 0 for each value of `by`, and `total`, the rows of that value.
+
+    The offsets have a row for each value and part, and are sent out only up to a counted number and size."""
+    upto = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = dealt.groupBy(by, "_part").agg(F.count("*").alias("n"), F.min("_inside").alias("first"))
+    starts = starts.withColumn("_base", F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first")).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
+    starts = materialize(starts.select(by, "_part", "_base", "total"), "starts")
+    size = starts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(by).cast("string"))), F.lit(0)).alias("b")).first()
+    if size["n"] <= SMALL and size["b"] <= SENT_BYTES:
+        starts = F.broadcast(starts)
+    return dealt.join(starts, [by, "_part"]).withColumn("pos", F.col("_inside") + F.col("_base")).drop("_part", "_inside", "_base")

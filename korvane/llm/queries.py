@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from korvane.llm.leaks import op7_leaks
 from korvane.llm.licenses import op10_licenses
+from korvane.llm.manifest import OP11_SQL, op11_merkle_manifest
 from korvane.llm.near_dups import op4_near_dups
 from korvane.llm.pieces import op5_sentencepiece
 from korvane.llm.quality import op8_quality
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
