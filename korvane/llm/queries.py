@@ -13,6 +13,7 @@ from korvane.llm.sharding import op9_sharding
 from korvane.llm.token_counts import op3_token_counts
 from korvane.llm.topk import OP1_SQL, op1_topk
 from korvane.llm.toxicity import op2_toxicity
+from korvane.llm.urls import OP12_SQL, op12_url_filters
 
 QUERIES = {
     "op1_topk": op1_topk,
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_url_filters": op12_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
 }
