@@ -7,6 +7,7 @@ from korvane.llm.licenses import op10_licenses
 from korvane.llm.manifest import OP11_SQL, op11_merkle_manifest
 from korvane.llm.near_dups import op4_near_dups
 from korvane.llm.pieces import op5_sentencepiece
+from korvane.llm.prefixes import OP13_SQL, op13_prefix_trie
 from korvane.llm.quality import op8_quality
 from korvane.llm.repeats import op6_suffix_dedup
 from korvane.llm.sharding import op9_sharding
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_url_filters": op12_url_filters,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_url_filters": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
