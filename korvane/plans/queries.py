@@ -12,11 +12,13 @@ from korvane.operators import parse as P
 from korvane.operators import rerank as R
 from korvane.operators import search as S
 from korvane.operators.filters import FilterSpec, all_of, chip_rows, predicates
+from korvane.operators.index import VectorIndex
 from korvane.operators.models import HashingEncoder, RuleBased, encode
 from korvane.plans.recommend import recommend as run_recommend
 from korvane.plans.recommend import recommend_batch as run_recommend_batch
 from korvane.sources.catalog import generate, product_embeddings, products
 from korvane.sources.schemas import CANDIDATE
+from korvane.sources.stored import folder
 from korvane.streaming import outbox as O
 
 K = 30
@@ -164,6 +166,12 @@ def q_vector_search_batch(s, d):
     return rounded(S.search_batch(products(s, d), product_embeddings(s, d), batch_queries(s, d), 10, gone())).select("qid", "rank", "id", "distance")
 
 
+def q_indexed_search(s, d):
+    """The same queries over a stored index, in packs."""
+    index = VectorIndex.write(products(s, d), product_embeddings(s, d), folder(s, "index"), gone())
+    return rounded(index.search(batch_queries(s, d), 10))
+
+
 def q_smoke_search(s, d):
     return rounded(S.short(hits(s, d, 10)))
 
@@ -243,6 +251,7 @@ QUERIES = {
     "cosine_distance": q_cosine_distance,
     "vector_search": q_vector_search,
     "vector_search_batch": q_vector_search_batch,
+    "indexed_search": q_indexed_search,
     "smoke_search": q_smoke_search,
     "ranked_hits": q_ranked_hits,
     "hit_report": lambda s, d: S.report(hits(s, d, 10)),
@@ -321,3 +330,6 @@ SQL = {
     "append_defaults": CTE + ", p AS (SELECT *, row_number() OVER (ORDER BY sku) AS n FROM products WHERE id % 2 = 1) SELECT n + (SELECT max(id) FROM products WHERE id % 2 = 0) AS id, 'demo' AS tenant_id, sku, price, 0 AS stock, true AS timed, false AS is_deleted FROM p UNION ALL SELECT id, tenant_id, sku, price, stock, false, is_deleted FROM products WHERE id % 2 = 0",
     "outbox_pending": "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS place, event_id AS id, user_id AS aggregate_id, event_type, props AS payload FROM events WHERE event_id % 4 = 0",
 }
+
+# The index is exact: its rows are those of the plain search.
+SQL["indexed_search"] = SQL["vector_search_batch"]

@@ -37,12 +37,18 @@ def arrow_batches(spark: SparkSession) -> None:
 _written: dict[str, None] = {}  # in order
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted with the tables."""
+    path = f"{shared_dir(spark)}/korvane-{name}-{uuid.uuid4().hex}"
+    _written[path] = None
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     arrow_batches(spark)
-    path = f"{shared_dir(spark)}/korvane-{name}-{uuid.uuid4().hex}"
-    _written[path] = None
+    path = folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._korvane_path = path
