@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType
 from korvane.functions.text import embed_text
 from korvane.functions.vector import check_dim
 from korvane.operators.models import Encoder, encode
+from korvane.sources.buckets import BucketTable
 from korvane.sources.schemas import EMBEDDINGS
 from korvane.sources.stored import materialize
 
@@ -61,6 +62,18 @@ def backfill(spark: SparkSession, products: DataFrame, embeddings: DataFrame, en
     return write_version(upsert(embeddings.select(*EMBEDDINGS.fieldNames()), rows), location), n
 
 
+def fill(products: DataFrame, table: BucketTable, encoder: Encoder, deleted: Column | None = None, batch: int = 32) -> int:
+    """Embed what `table` does not hold and add it: only filters, and the buckets of new rows, are read or written. Returns the count.
+
+    A failure leaves the state as it was; running it again takes up what is missing."""
+    live = products.where(~deleted if deleted is not None else F.col("deleted_at").isNull())
+    todo = materialize(table.absent(live.select(*INPUT), "id"), "todo")
+    n = todo.count()
+    if n:
+        table.upsert(embed(todo, encoder, batch=batch))
+    return n
+
+
 def progress(done: int, total: int, seconds: float) -> tuple[float, float]:
     """Rows a second and seconds left; zeros where there is nothing to divide by."""
     rate = done / seconds if seconds > 0 else 0.0

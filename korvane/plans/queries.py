@@ -16,9 +16,12 @@ from korvane.operators.index import VectorIndex
 from korvane.operators.models import HashingEncoder, RuleBased, encode
 from korvane.plans.recommend import recommend as run_recommend
 from korvane.plans.recommend import recommend_batch as run_recommend_batch
+from korvane.sources import layout as L
+from korvane.sources.buckets import BucketTable
 from korvane.sources.catalog import generate, product_embeddings, products
 from korvane.sources.schemas import CANDIDATE
 from korvane.sources.stored import folder
+from korvane.streaming import consumer as E
 from korvane.streaming import outbox as O
 
 K = 30
@@ -191,6 +194,44 @@ def q_upsert(s, d):
     return sums(B.upsert(e, upsert_source(e)))
 
 
+def q_filter_all_indexed(s, d):
+    """filter_all over a stored copy whose order lets the scan skip."""
+    at = folder(s, "catalog")
+    L.write_catalog(products(s, d), at, gone())
+    return L.read_catalog(s, at).where(L.pruned(SPECS["filter_all"])).select(*CANDIDATE)
+
+
+def vector_table(s, d):
+    return BucketTable.create(product_embeddings(s, d), folder(s, "vectors"), "product_id", 16)
+
+
+def q_upsert_bucketed(s, d):
+    """The upsert in a keyed table; the state before it stays as it was."""
+    table = vector_table(s, d)
+    table.upsert(upsert_source(product_embeddings(s, d)))
+    return sums(table.read())
+
+
+def q_delete_bucketed(s, d):
+    table = vector_table(s, d)
+    rows = product_embeddings(s, d).select("product_id")
+    table.delete(rows.join(products(s, d).where("not is_deleted").select(F.col("id").alias("product_id")), "product_id", "left_anti"))
+    return sums(table.read())
+
+
+def q_pending_bucketed(s, d):
+    return vector_table(s, d).absent(products(s, d).where(~gone()).select("id", "name"), "id")
+
+
+def flaky(kind: str, payload: str, event: int, number: int) -> str | None:
+    """A stand-in for what events are sent to: some of them fail once, twice or always."""
+    return f"try {number}" if number <= event // 4 % 16 - 12 else None
+
+
+def q_outbox_consumed(s, d):
+    return E.consumed(O.pending(outbox_of(s, d)), flaky, 3, 0.01)
+
+
 def q_append(s, d):
     """The products with odd ids are new rows: no id, tenant, stock or times."""
     p = products(s, d)
@@ -275,6 +316,11 @@ QUERIES = {
     "filter_chips": lambda s, d: chip_rows(batch_queries(s, d).drop("q")),
     "hit_view": lambda s, d: rounded(S.view(hits(s, d))),
     "append_defaults": q_append,
+    "filter_all_indexed": q_filter_all_indexed,
+    "upsert_bucketed": q_upsert_bucketed,
+    "cascade_delete_bucketed": q_delete_bucketed,
+    "pending_bucketed": q_pending_bucketed,
+    "outbox_consumed": q_outbox_consumed,
     "generate_catalog": q_generate,
     "embed_backfill": q_embed_backfill,
     "recommend": q_recommend,
@@ -331,5 +377,8 @@ SQL = {
     "outbox_pending": "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS place, event_id AS id, user_id AS aggregate_id, event_type, props AS payload FROM events WHERE event_id % 4 = 0",
 }
 
-# The index is exact: its rows are those of the plain search.
-SQL["indexed_search"] = SQL["vector_search_batch"]
+# Stored forms give the rows of the plain ones.
+SQL |= {"indexed_search": SQL["vector_search_batch"], "filter_all_indexed": SQL["filter_all"], "upsert_bucketed": SQL["upsert_embeddings"], "cascade_delete_bucketed": SQL["cascade_delete"], "pending_bucketed": SQL["pending_embeddings"]}
+SQL["outbox_consumed"] = """
+WITH e AS (SELECT *, greatest(0, event_id // 4 % 16 - 12) AS fails, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE event_id % 4 = 0)
+SELECT user_id AS aggregate_id, place, event_id AS id, event_type, CAST(least(3, fails + 1) AS INT) AS tries, CASE WHEN fails >= 3 THEN 'try 3' END AS error, fails >= 3 AS dead FROM e"""

@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvane.operators.backfill import embed
+from korvane.operators.backfill import embed, fill
 from korvane.operators.models import Encoder
+from korvane.sources.buckets import BucketTable
 from korvane.sources.stored import materialize
 
 
@@ -53,3 +54,12 @@ def stream_backfill(products: DataFrame, stored: Callable[[], DataFrame], write:
         write(embed(todo, encoder), epoch)
 
     return products.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_fill(products: DataFrame, table: BucketTable, encoder: Encoder, checkpoint: str):
+    """stream_backfill() into a keyed table: a micro-batch reads the filters of its own keys, and not what is stored."""
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        fill(batch.dropDuplicates(["id"]), table, encoder)
+
+    return products.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
