@@ -65,6 +65,13 @@ def hold(df: DataFrame) -> DataFrame:
     return df
 
 
+def let_go(*frames: DataFrame) -> None:
+    """Give up what hold() keeps, once nothing reads it any more."""
+    for df in frames:
+        df.unpersist()
+        _held[:] = [h for h in _held if h is not df]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
