@@ -162,9 +162,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     reach = packs.select("pack", F.explode("reach").alias("r")).select("pack", "r.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("part"))
     met = reach.join(rings, ["pivot", "part"]).where((F.col("high") >= F.col("near")) & (F.col("low") <= F.col("out"))).select("pack", "pivot", "low", "high", "annulus")
     spread = max(4, n // (ANNULUS * 64) + 1)
-    pairs = met.join(index.select("annulus", "ids", "vs"), "annulus").join(packs.select("pack", "qids", "qs", "kth"), "pack")
-    pairs = pairs.withColumn("lane", F.pmod(F.xxhash64("annulus"), F.lit(spread)))
-    pairs = pairs.repartition("pack", "lane").sortWithinPartitions("pack", "lane", "pivot", "low")
+    met = materialize(met.withColumn("lane", F.pmod(F.xxhash64("annulus"), F.lit(spread))), "met")  # numbers only
+    # a lane gets its pack once, before the annuli
+    rings = met.join(index.select("annulus", "ids", "vs"), "annulus").select("pack", "lane", F.lit(1).alias("after"), "pivot", "low", "high", "ids", "vs")
+    heads = met.select("pack", "lane").distinct().join(packs.select("pack", "qids", "qs", "kth"), "pack").withColumn("after", F.lit(0))
+    pairs = rings.unionByName(heads, allowMissingColumns=True).repartition("pack", "lane").sortWithinPartitions("pack", "lane", "after", "pivot", "low")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lane, state = None, None
@@ -173,11 +175,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                 if lane != (pack, lane_):
                     if state:
                         yield found(state)
-                    lane = (pack, lane_)
+                    lane = (pack, lane_)  # its first row is the pack
                     qids, q = load(g["qids"].iloc[0], g["qs"].iloc[0])
                     state = [qids, q, np.frombuffer(g["kth"].iloc[0], number).copy(), [np.zeros(0, "<i8")] * len(q), [np.zeros(0, number)] * len(q), distances(lifted(q, None), pivots)]
                 qids, q, kth, ids, scores, d = state
-                bound = [np.maximum(d[:, p] - high, low - d[:, p]) for p, low, high in zip(g["pivot"], g["low"], g["high"], strict=True)]
+                g = g[g["after"] == 1]
+                bound = [np.maximum(d[:, p] - high, low - d[:, p]) for p, low, high in zip(g["pivot"].astype(int), g["low"], g["high"], strict=True)]
                 for i in np.argsort([x.min() for x in bound], kind="stable"):
                     open_ = np.flatnonzero(bound[i] <= radius(q, kth))
                     if not len(open_):
@@ -206,7 +209,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         edge = float(1 << 63)
         return np.where(scores >= edge, np.iinfo(np.int64).max, np.where(scores < -edge, np.iinfo(np.int64).min, np.clip(scores, -edge, np.nextafter(edge, 0))).astype(np.int64)) if len(scores) and np.abs(scores).max() >= edge else scores.astype(np.int64)
 
-    hits = pairs.select("pack", "lane", "pivot", "low", "high", "ids", "vs", "qids", "qs", "kth").mapInPandas(search, "query_id long, vec_id long, score long")
+    hits = pairs.select("pack", "lane", "after", "pivot", "low", "high", "ids", "vs", "qids", "qs", "kth").mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
