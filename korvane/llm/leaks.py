@@ -7,6 +7,8 @@
             error between them, and each such pair is a seed. One that reaches `found` of an item of m words has
             2 M - E >= 2 found m, hence at least `found` m - 1 places of the item at which a seed starts. So
             no such alignment is lost: an item is looked at if that many of its places have a seed in the document.
+            The exception is an item so short that one word alone reaches `found` (two words, at FOUND): there a lone word
+            says nothing, so one seed, both words in order, is asked for.
   rare      If that many places must be met, one of the others' number plus one must be met among any so many places.
             Those with the seeds that are rarest among the items are taken: only they join a document to an item.
   passages  A document's hits on an item, by diagonal (place in the document less place in the item), gather into
@@ -46,6 +48,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 FOUND = 0.5
 SENT = 1_000_000
 PAIRS = 1 << 14
+#: Words of a text that are aligned at a time, besides those that reach over.
+WIDE = 1 << 18
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -161,7 +165,12 @@ def passages(it: Items, k: int, numbers: np.ndarray, seed: np.ndarray, place: np
         own, at = it.seed[it.edges[k] : it.edges[k + 1]], it.at[it.edges[k] : it.edges[k + 1]]
         met = np.isin(own, seed)
         n_hits = len(np.unique(at[met]))
-        diagonals = np.unique(np.concatenate([np.unique(place[seed == x][:, None] - at[own == x]) for x in np.unique(own[met])]))
+        there = np.zeros(len(numbers) + m, bool)  # by diagonal + m: words that repeat meet each other without a list of pairs
+        for x in np.unique(own[met]):
+            here = place[seed == x] + m
+            for j in at[own == x].tolist():
+                there[here - j] = True
+        diagonals = np.flatnonzero(there) - m
     reach = int(2 * (1 - it.found) * m) + 1  # errors that leave `found` of the score
     edges = np.flatnonzero(np.r_[True, np.diff(diagonals) > max(m, reach)])
     best = (0, 0, 0)
@@ -170,9 +179,10 @@ def passages(it: Items, k: int, numbers: np.ndarray, seed: np.ndarray, place: np
         has = Counter(numbers[low:high].tolist())
         if sum(min(n, has[w]) for w, n in bag.items()) < it.found * m:
             continue
-        s, first, last = align(item, numbers[low:high])
-        if s > best[0]:
-            best = (s, low + first, low + last)
+        for start in range(low, high, WIDE):  # what is found spans m + reach words at most
+            s, first, last = align(item, numbers[start : min(high, start + WIDE + m + reach)])
+            if s > best[0]:
+                best = (s, start + first, start + last)
     return (*best, n_hits) if best[0] >= it.found * MATCH * m else None
 
 

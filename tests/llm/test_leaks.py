@@ -106,7 +106,7 @@ def test_equals_all_pairs(spark):
     """Every document against every item, at all rates of words changed, left out and put in: no pair at FOUND or above is lost."""
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]  # few words: seeds are common
-    items = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 40))] for _ in range(25)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 40))] for _ in range(25)] + [["w3"], ["w5", "w9"], ["w7", "w7"]]
     docs = []
     for d in range(150):
         w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
@@ -117,7 +117,9 @@ def test_equals_all_pairs(spark):
     for item in items[:8]:  # each third word changed; a word put in after each; each fourth word changed
         docs += [[x if i % 3 != 2 else "changed" for i, x in enumerate(item)], [y for x in item for y in (x, "put")], [x if i % 4 != 3 else "changed" for i, x in enumerate(item)]]
     want = {(d, k): plain(i, w) / (2 * len(i)) for d, w in enumerate(docs) for k, i in enumerate(items)}
-    want = {key: s for key, s in want.items() if s >= L.FOUND}
+    # an item of two words needs both, in order, with at most one between them: one word alone would reach FOUND
+    both = lambda w, i: any(w[a] == i[0] and i[1] in w[a + 1 : a + 3] for a in range(len(w)))
+    want = {(d, k): s for (d, k), s in want.items() if s >= L.FOUND and (len(items[k]) != 2 or both(docs[d], items[k]))}
     frame = lambda rows, schema: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], schema)
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in L.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
     assert len(want) > 100 and got.keys() == want.keys()
@@ -128,3 +130,18 @@ def test_repeated_words_and_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, "again " * 20_000), (2, "once"), (3, "x " * 30_000 + "a real passage of words that nobody else has " + "y " * 30_000)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "again " * 100), (2, "a real passage of words that nobody else has"), (3, "once")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in L.leaks(docs, items).collect()} == {(1, 1, 1.0), (3, 2, 1.0), (2, 3, 1.0)}
+
+
+def test_windows_of_a_long_passage_and_memory():
+    """A text of one word over and over meets an item of that word at every diagonal: no list of pairs is made, and windows find what the whole would."""
+    import tracemalloc
+
+    it = L.Items([(1, "again " * 100)], L.FOUND)
+    n = 5_000_000
+    numbers, seed, place = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+    numbers[:1000], seed, place = -1, seed[1000:-2], place[1000:-2]
+    tracemalloc.start()
+    got = L.passages(it, 0, numbers, seed, place)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert got == (200, 1000, 1100, 99)
