@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from korvane.llm.common import byte_table, hold, materialize, mix, release, sent, table
+from korvane.llm.common import byte_table, hold, let_go, materialize, mix, release, sent, table
 
 WINDOW = 50
 ANCHOR = 16
@@ -491,7 +491,8 @@ def cut(keep_text: bool, carry: list[str], n_buckets: int):
 def repeats(documents: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for every row, and the columns in carry.
 
-    kept is the remaining text, without characters that a cut goes through; null unless keep_text."""
+    kept is the remaining text, without characters that a cut goes through; null unless keep_text, and then the result is a
+    written table and nothing stays persisted."""
     spark = documents.sparkSession
     carry = [c for c in carry if c not in (*RESULT, "text", "blk")]
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
@@ -515,7 +516,12 @@ def repeats(documents: DataFrame, keep_text: bool = True, carry: tuple[str, ...]
     known = copied.unionByName(shared)
     judged = dealt(both(known, tell_strings(n_blocks), NOTE)).applyInArrow(judge, NOTE)
     kind = _parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return both(known.unionByName(judged), cut(keep_text, carry, n_blocks), StructType([*kind.fields, *docs.select(*carry).schema.fields]))
+    out = both(known.unionByName(judged), cut(keep_text, carry, n_blocks), StructType([*kind.fields, *docs.select(*carry).schema.fields]))
+    if keep_text:
+        return out  # as large as the texts: the caller writes it, and then sweep() lets go of what it is made from
+    out = materialize(out, "repeats")
+    let_go(blocks, copied, shared)
+    return out
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

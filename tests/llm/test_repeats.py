@@ -124,3 +124,11 @@ def test_deep_shallow_sorts(rows):
     assert keys == sorted(keys)
     for (g, x), (h, y), n in zip(keys, keys[1:], common[1:]):
         assert n == (-1 if g != h else next((k for k in range(45) if x[k] != y[k]), 45))
+
+
+def test_nothing_stays_persisted(spark, sf):
+    from korvane.sources.stored import sweep
+
+    sweep(spark)
+    assert R.op6_suffix_dedup(spark, sf).count() > 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
