@@ -53,10 +53,10 @@ def strip_fence_strict(reply: Column) -> Column:
 
 
 def strip_fence_lenient(reply: Column) -> Column:
-    """What stands between the first two fences, without a lower-case json tag."""
+    """What stands between the first two fences, without a lower-case json tag and back-ticks left at its end."""
     t = trimmed(reply)
     inner = F.regexp_replace(F.get(F.split(t, "```", 3), 1), r"\Ajson", "")
-    return F.when(t.startswith("```"), trimmed(inner)).otherwise(t)
+    return F.when(t.startswith("```"), trimmed(F.regexp_replace(trimmed(inner), r"`+\z", ""))).otherwise(t)
 
 
 def three_digits(x: Column) -> Column:

@@ -21,13 +21,15 @@ class ParseError(ValueError):
 
 
 def strip_fence(reply: str, dialect: str = "strict") -> str:
-    """strict: the fence's whole first line goes, and a fence at the end. lenient: what is between the first two fences, without a json tag."""
+    """strict: the fence's whole first line goes, and a fence at the end. lenient: what is between the first two fences, without a json tag and back-ticks left at its end."""
     t = reply.strip()
     if not t.startswith("```"):
         return t
     if dialect == "strict":
         return re.sub(r"(?s)```\s*\Z", "", re.sub(r"\A```[^\n]*\n", "", t)).strip()
-    return re.split("```", t, maxsplit=2)[1].removeprefix("json").strip()
+    # the steps and their order are fixed: what they leave is what is parsed
+    inner = t.split("```", 2)[1].removeprefix("json").strip()
+    return inner.rstrip("`").strip()
 
 
 def load(reply: str, dialect: str) -> dict[str, Any]:
@@ -82,19 +84,14 @@ def recommendations_of(reply: Column) -> Column:
     return F.filter(cast, lambda r: r.product_id.isNotNull())
 
 
-def normalized(filters: Column, dialect: str = "strict") -> Column:
-    """JSON filter maps as normalize() reads them, as struct(FILTERS)."""
-
-    def one(text: str) -> tuple:
-        spec = normalize(json.loads(text), dialect)
-        value = lambda c: v if (v := getattr(spec, c)) is None or c not in BOUNDS else float(v)
-        return tuple(value(c) for c in FILTERS.names)
-
-    return F.udf(one, FILTERS)(filters)
+def _spec(filters: dict[str, Any], dialect: str) -> dict[str, Any]:
+    """A filter map as normalize() reads it, in the columns of FILTERS."""
+    spec = normalize(filters, dialect)
+    return {c: v if (v := getattr(spec, c)) is None or c not in BOUNDS else float(v) for c in FILTERS.names}
 
 
 def parse_queries(queries: DataFrame, model: LanguageModel, dialect: str = "strict", max_tokens: int = 512) -> DataFrame:
-    """queries (qid, query) with filters (JSON), semantic_query and error: one bad reply does not fail the others."""
+    """queries (qid, query) with filters (JSON), semantic_query, error, and spec (the filters as normalize() reads them): one bad reply does not fail the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,10 +101,10 @@ def parse_queries(queries: DataFrame, model: LanguageModel, dialect: str = "stri
                     if not query or not query.strip():
                         raise ParseError("blank query")
                     filters, meaning = parse_filters(model.chat(PARSE, query, max_tokens), dialect)
-                    normalize(filters, dialect)  # a map that cannot be read is this query's error
-                    rows.append((qid, query, json.dumps(filters, ensure_ascii=False), meaning, None))
+                    spec = _spec(filters, dialect)  # a map that cannot be read is this query's error
+                    rows.append((qid, query, json.dumps(filters, ensure_ascii=False), meaning, None, spec))
                 except Exception as e:  # noqa: BLE001  a model may fail in any way; the other queries go on
-                    rows.append((qid, query, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["qid", "query", "filters", "semantic_query", "error"])
+                    rows.append((qid, query, None, None, f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(rows, columns=["qid", "query", "filters", "semantic_query", "error", "spec"])
 
-    return queries.select("qid", "query").mapInPandas(run, f"qid {queries.schema['qid'].dataType.simpleString()}, query string, filters string, semantic_query string, error string")
+    return queries.select("qid", "query").mapInPandas(run, f"qid {queries.schema['qid'].dataType.simpleString()}, query string, filters string, semantic_query string, error string, spec {FILTERS.simpleString()}")

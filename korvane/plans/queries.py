@@ -18,7 +18,7 @@ from korvane.plans.recommend import recommend as run_recommend
 from korvane.plans.recommend import recommend_batch as run_recommend_batch
 from korvane.sources import layout as L
 from korvane.sources.buckets import BucketTable
-from korvane.sources.catalog import generate, product_embeddings, products
+from korvane.sources.catalog import generated, product_embeddings, products
 from korvane.sources.schemas import CANDIDATE
 from korvane.sources.stored import folder
 from korvane.streaming import consumer as E
@@ -125,21 +125,17 @@ EMBED_SQL = f"""WITH {PRODUCTS_SQL}, t AS (
 SELECT id, {n('name')} || '. 카테고리: ' || {n('category')} || ' ' || {n('subcategory')} || '. 브랜드: ' || {n('brand')} || '. 성별: ' || {n('gender')} || '. 시즌: ' || {n('season')} || '. 스타일: ' || {n('style')}
   || '. 색상: ' || {n('color')} || '. 소재: ' || {n('material')} || '. 설명: ' || {n('description')} || ' 태그: ' || tags AS embedded_text FROM t"""
 
-# Canned replies, also as SQL values.
-REPLIES = [
-    (1, '{"filters": {"category": "원피스", "price_max": 50000, "in_stock_only": true}, "semantic_query": "봄 원피스"}'),
-    (2, '```json\n{"filters": {"gender": "남성", "color": "블랙"}, "semantic_query": "청바지"}\n```'),
-    (3, '```\n{"filters": {}, "semantic_query": "코트"}\n```'),
-]
-RECS = [(1, '{"recommendations": [{"product_id": "4", "reason": "a"}, {"product_id": 98, "reason": "b"}]}'), (2, '{"recommendations": [{"product_id": "x", "reason": "c"}, {"product_id": 334, "reason": "d"}]}'), (3, '{"recommendations": []}')]
+# Replies of a model, made from the rows of the catalog: plain, and in either kind of fence.
+REPLY_JSON = """concat('{"filters": {"category": "', category, '", "gender": ', CASE WHEN gender IS NULL THEN 'null' ELSE concat('"', gender, '"') END, ', "color": "', color, '", "price_max": ', price, '.9, "in_stock_only": ', CASE WHEN stock > 0 THEN 'true' ELSE 'false' END, '}, "semantic_query": "', name, '"}')"""
+REC_JSON = """concat('{"recommendations": [', CASE WHEN id % 5 = 0 THEN '' ELSE concat('{"product_id": "', id, '", "reason": "', name, '"}, {"product_id": ', id + 1, ', "reason": "', color, '"}, {"product_id": "x', id, '", "reason": "none"}') END, ']}')"""
 
 
-def values(rows: list[tuple[int, str]]) -> str:
-    return ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in rows)
+def fenced(json: str, line: str) -> str:
+    return f"CASE id % 3 WHEN 0 THEN {json} WHEN 1 THEN concat('```json', {line}, {json}, {line}, '```') ELSE concat('```', {line}, {json}, {line}, '```', {line}) END"
 
 
-def replies(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "id int, reply string")
+def replies(spark: SparkSession, sf_dir: str, json: str) -> DataFrame:
+    return products(spark, sf_dir).select("id", F.expr(fenced(json, "char(10)")).alias("reply"))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +237,8 @@ def q_append(s, d):
 
 
 def q_generate(s, d):
-    return generate(s, 10_000).drop("created_at", "updated_at")
+    """A made-up product in place of each one of the catalog."""
+    return generated(products(s, d).select("id")).drop("created_at", "updated_at")
 
 
 def q_embed_backfill(s, d):
@@ -262,7 +259,7 @@ def q_recommend(s, d):
 
 def q_recommend_batch(s, d):
     p, e = small_catalog(s, d)
-    asked = s.createDataFrame([(1, "봄에 입을 여성 원피스 40만원 이하"), (2, "겨울 코트"), (3, " ")], "qid long, query string")
+    asked = p.where("id % 100 = 0").select(F.col("id").alias("qid"), F.when(F.col("id") % 1000 == 0, " ").otherwise(F.concat_ws(" ", "season", "gender", "category", F.concat(F.ceil(F.col("price") / 10000).cast("string"), F.lit("만원 이하")))).alias("query"))
     return run_recommend_batch(p, e, asked, HashingEncoder(64), RuleBased(), deleted=gone()).select("qid", "error", "candidate_count", F.to_json("recommendations").alias("recommendations"))
 
 
@@ -303,16 +300,16 @@ QUERIES = {
     "embed_text": lambda s, d: with_texts(products(s, d)).select("id", X.embed_text().alias("embedded_text")),
     "upsert_embeddings": q_upsert,
     "cascade_delete": lambda s, d: sums(B.cascade_delete(product_embeddings(s, d), products(s, d).where("not is_deleted"))),
-    "strip_fence": lambda s, d: replies(s, REPLIES).select("id", X.strip_fence_strict(F.col("reply")).alias("strict"), X.strip_fence_lenient(F.col("reply")).alias("lenient")),
-    "parse_filters": lambda s, d: replies(s, REPLIES).select("id", P.filters_of(X.strip_fence_strict(F.col("reply"))).alias("p")).select("id", "p.filters.category", "p.filters.gender", "p.filters.color", X.whole_won(F.col("p.filters.price_max")).alias("price_max"), "p.filters.in_stock_only", "p.semantic_query"),
-    "parse_recs": lambda s, d: replies(s, RECS).select("id", F.explode(P.recommendations_of(F.col("reply"))).alias("r")).select("id", "r.product_id", "r.reason"),
+    "strip_fence": lambda s, d: replies(s, d, REPLY_JSON).select("id", X.strip_fence_strict(F.col("reply")).alias("strict"), X.strip_fence_lenient(F.col("reply")).alias("lenient")),
+    "parse_filters": lambda s, d: replies(s, d, REPLY_JSON).select("id", P.filters_of(X.strip_fence_strict(F.col("reply"))).alias("p")).select("id", "p.filters.category", "p.filters.gender", "p.filters.color", X.whole_won(F.col("p.filters.price_max")).alias("price_max"), "p.filters.in_stock_only", "p.semantic_query"),
+    "parse_recs": lambda s, d: replies(s, d, REC_JSON).select("id", F.explode(P.recommendations_of(X.strip_fence_strict(F.col("reply")))).alias("r")).select("id", "r.product_id", "r.reason"),
     "rerank_payload": lambda s, d: payload_of(s, d, "lenient"),
     "rerank_payload_strict": lambda s, d: payload_of(s, d, "strict"),
     "recs_resolved": lambda s, d: R.resolved(replayed(s, d), R.preview(hits(s, d))).select("product_id", "reason", "name"),
     "recs_display": lambda s, d: R.display(replayed(s, d), R.preview(hits(s, d))),
     "recs_display_all": lambda s, d: R.display(replayed(s, d), hits(s, d)),
     "outbox_pending": lambda s, d: O.numbered(O.pending(outbox_of(s, d))).select("place", "id", "aggregate_id", "event_type", "payload"),
-    "recs_count": lambda s, d: replies(s, RECS).select("id", R.chosen_count(P.recommendations_of(F.col("reply"))).alias("chosen")),
+    "recs_count": lambda s, d: replies(s, d, REC_JSON).select("id", R.chosen_count(P.recommendations_of(X.strip_fence_strict(F.col("reply")))).alias("chosen")),
     "filter_chips": lambda s, d: chip_rows(batch_queries(s, d).drop("q")),
     "hit_view": lambda s, d: rounded(S.view(hits(s, d))),
     "append_defaults": q_append,
@@ -329,6 +326,14 @@ QUERIES = {
 }
 
 CTE = f"WITH {PRODUCTS_SQL}, {VECTORS_SQL} "
+
+
+def replies_sql(json: str) -> str:
+    """r: id, reply, and what is in the fence."""
+    return f"WITH {PRODUCTS_SQL}, made AS (SELECT id, " + fenced(json, "chr(10)") + f" AS reply FROM products), r AS (SELECT id, reply, CASE WHEN starts_with(reply, '```') THEN {FENCE_SQL} ELSE reply END AS body FROM made) "
+
+
+RECS_OF = ", t AS (SELECT id, unnest(CAST(CAST(body AS JSON)->'recommendations' AS JSON[])) AS x FROM r), u AS (SELECT id, TRY_CAST(x->>'product_id' AS BIGINT) AS product_id, x->>'reason' AS reason FROM t) "
 QUOTED = ", ".join(f"'\"{c}\":', coalesce('\"' || {c} || '\"', 'null'), ','" for c in ("name", "category", "subcategory", "gender", "season", "style", "color"))
 PAYLOAD_SQL = WITH_HITS + "SELECT id, concat('{{\"product_id\":', id, ',', " + QUOTED + ", '\"price\":', {price}{stock}, '}}') AS payload FROM hits"
 REPORT_SQL = (
@@ -361,16 +366,16 @@ SQL = {
     "embed_text": EMBED_SQL,
     "upsert_embeddings": CTE + ", s AS (SELECT product_id, list_reverse(embedding) AS embedding FROM product_embeddings WHERE product_id % 3 = 0 UNION ALL SELECT product_id + 1000000, embedding FROM product_embeddings WHERE product_id % 10 = 1), m AS (SELECT * FROM s UNION ALL SELECT * FROM product_embeddings t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.product_id = t.product_id)) SELECT product_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INT) AS dims FROM m",
     "cascade_delete": CTE + "SELECT product_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INT) AS dims FROM product_embeddings WHERE product_id IN (SELECT id FROM products WHERE NOT is_deleted)",
-    "strip_fence": f"SELECT CAST(id AS INT) AS id, CASE WHEN starts_with(reply, '```') THEN {FENCE_SQL} ELSE reply END AS strict, CASE WHEN starts_with(reply, '```') THEN trim(regexp_replace(split_part(reply, '```', 2), '^json', ''), E' \\n') ELSE reply END AS lenient FROM (VALUES {values(REPLIES)}) t(id, reply)",
-    "parse_filters": f"WITH t AS (SELECT CAST(id AS INT) AS id, CAST(CASE WHEN starts_with(reply, '```') THEN {FENCE_SQL} ELSE reply END AS JSON) AS j FROM (VALUES {values(REPLIES)}) t(id, reply)) SELECT id, j->'filters'->>'category' AS category, j->'filters'->>'gender' AS gender, j->'filters'->>'color' AS color, CAST(j->'filters'->>'price_max' AS INT) AS price_max, CAST(j->'filters'->>'in_stock_only' AS BOOLEAN) AS in_stock_only, j->>'semantic_query' AS semantic_query FROM t",
-    "parse_recs": f"WITH t AS (SELECT CAST(id AS INT) AS id, unnest(CAST(CAST(reply AS JSON)->'recommendations' AS JSON[])) AS r FROM (VALUES {values(RECS)}) t(id, reply)), u AS (SELECT id, TRY_CAST(r->>'product_id' AS BIGINT) AS product_id, r->>'reason' AS reason FROM t) SELECT * FROM u WHERE product_id IS NOT NULL",
+    "strip_fence": replies_sql(REPLY_JSON) + "SELECT id, body AS strict, CASE WHEN starts_with(reply, '```') THEN trim(rtrim(trim(regexp_replace(split_part(reply, '```', 2), '^json', ''), E' \\n'), '`'), E' \\n') ELSE reply END AS lenient FROM r",
+    "parse_filters": replies_sql(REPLY_JSON) + "SELECT id, j->'filters'->>'category' AS category, j->'filters'->>'gender' AS gender, j->'filters'->>'color' AS color, CAST(trunc(CAST(j->'filters'->>'price_max' AS DOUBLE)) AS INT) AS price_max, CAST(j->'filters'->>'in_stock_only' AS BOOLEAN) AS in_stock_only, j->>'semantic_query' AS semantic_query FROM (SELECT id, CAST(body AS JSON) AS j FROM r)",
+    "parse_recs": replies_sql(REC_JSON) + RECS_OF + "SELECT id, product_id, reason FROM u WHERE product_id IS NOT NULL",
     "rerank_payload": PAYLOAD_SQL.format(price="coalesce(nullif(sale_price, 0), price)", stock=", ',\"stock\":', stock"),
     "rerank_payload_strict": PAYLOAD_SQL.format(price="coalesce(sale_price, price)", stock=""),
     "recs_resolved": RECS_SQL + "SELECT product_id, reason, name FROM recs JOIN (SELECT * FROM r WHERE rank <= 5) s ON s.id = product_id",
     "recs_display": DISPLAY_SQL.format(shown="(SELECT * FROM r WHERE rank <= 5)"),
     "recs_display_all": DISPLAY_SQL.format(shown="r"),
     "hit_report": REPORT_SQL,
-    "recs_count": f"WITH t AS (SELECT CAST(id AS INT) AS id, unnest(CAST(CAST(reply AS JSON)->'recommendations' AS JSON[])) AS r FROM (VALUES {values(RECS)}) t(id, reply)) SELECT i.id, CAST(count(TRY_CAST(r->>'product_id' AS BIGINT)) AS INT) AS chosen FROM (SELECT CAST(id AS INT) AS id FROM (VALUES {values(RECS)}) t(id, reply)) i LEFT JOIN t ON t.id = i.id GROUP BY i.id",
+    "recs_count": replies_sql(REC_JSON) + RECS_OF + "SELECT r.id, CAST(count(u.product_id) AS INT) AS chosen FROM r LEFT JOIN u ON u.id = r.id GROUP BY r.id",
     "filter_chips": "WITH q AS (SELECT vec_id AS qid, CASE WHEN vec_id // 100 % 3 = 0 THEN '여성' END AS gender, CASE WHEN vec_id // 100 % 4 = 0 THEN '봄' END AS season, CASE WHEN vec_id // 100 % 2 = 1 THEN '신발' END AS category, CASE WHEN vec_id // 100 % 5 = 0 THEN '300000' END AS price_max FROM embeddings WHERE vec_id % 100 = 0) SELECT qid, name, value FROM q UNPIVOT (value FOR name IN (gender, season, category, price_max))",
     "hit_view": WITH_HITS + f"SELECT {', '.join(c for c in CANDIDATE if c != 'sku')}, round(distance, 6) AS distance FROM hits",
     "append_defaults": CTE + ", p AS (SELECT *, row_number() OVER (ORDER BY sku) AS n FROM products WHERE id % 2 = 1) SELECT n + (SELECT max(id) FROM products WHERE id % 2 = 0) AS id, 'demo' AS tenant_id, sku, price, 0 AS stock, true AS timed, false AS is_deleted FROM p UNION ALL SELECT id, tenant_id, sku, price, stock, false, is_deleted FROM products WHERE id % 2 = 0",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from korvane.operators import rerank as R
 from korvane.operators.filters import normalize
 from korvane.operators.models import PARSE, Encoder, LanguageModel
-from korvane.operators.parse import ParseError, normalized, parse_filters, parse_queries
+from korvane.operators.parse import ParseError, parse_filters, parse_queries
 from korvane.operators.search import search as nearest
 from korvane.sources.schemas import FILTERS
 from korvane.sources.stored import materialize
@@ -60,8 +60,9 @@ def recommend_batch(products: DataFrame, embeddings: DataFrame, queries: DataFra
     from korvane.operators.search import search_batch
 
     parsed = materialize(parse_queries(queries, model, dialect), "parsed")
-    named = parsed.where("error IS NULL").select("qid", "query", "semantic_query", normalized(F.col("filters"), dialect).alias("f"))
-    asked = encode(named.select("qid", "query", "semantic_query", "f.*"), encoder, "semantic_query", "q")
+    named = parsed.where("error IS NULL").select("qid", "query", "semantic_query", "spec")
+    parsed = parsed.drop("spec")
+    asked = encode(named.select("qid", "query", "semantic_query", "spec.*"), encoder, "semantic_query", "q")
     asked = materialize(asked.select("qid", "q", *FILTERS.names), "asked")
     hits = materialize(search_batch(products, embeddings, asked, k, deleted), "hits")
     recs = R.rerank(hits, named.select("qid", "query"), model, dialect, strict)

@@ -93,8 +93,12 @@ def product_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generate(spark: SparkSession, total: int, seed: int = 42) -> DataFrame:
-    """A synthetic catalog of `total` products: every value is a hash of (seed, id, name of the draw), so partitions need no shared state."""
-    ids = spark.range(1, total + 1)
+    """A synthetic catalog of `total` products, with ids from 1."""
+    return generated(spark.range(1, total + 1), seed)
+
+
+def generated(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A synthetic product for each id: every value is a hash of (seed, id, name of the draw), so partitions need no shared state."""
     bits = lambda draw: F.xxhash64(F.lit(seed), F.lit(draw), F.col("id"))
     unit = lambda draw: F.pmod(bits(draw), F.lit(1 << 40)) / float(1 << 40)
 

@@ -136,6 +136,6 @@ def test_command_line(spark, made, tmp_path, capsys, monkeypatch):
     B.embed(p, HashingEncoder(64)).write.parquet(f"{tmp_path}/product_embeddings")
     smoke.main(["봄 원피스", "--gender", "여성", "-k", "3", "--catalog", str(tmp_path)], spark)
     lines = capsys.readouterr().out.strip().split("\n")
-    assert len(lines) == 3 + 6 and lines[3].startswith(" 1. [0.") and lines[4].startswith("     ") and lines[4].endswith("원")
+    assert len(lines) == 1 + 6 and lines[1].startswith(" 1. [0.") and lines[2].startswith("     ") and lines[4].endswith("원")
     assert smoke.spec_of(smoke.arguments(["q", "--price-max", "0"])) == FilterSpec()  # a price of 0 filters nothing here
     assert smoke.spec_of(smoke.arguments(["q", "--price-max", "9", "--season", "봄"])) == FilterSpec(price_max=9, season="봄")

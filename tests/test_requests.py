@@ -43,6 +43,7 @@ def test_no_such_dialect():
         ('```JSON\n{"a": 1}\n```', '{"a": 1}', 'JSON\n{"a": 1}'),
         ('```json\n{"a": 1}\n``` and prose', '{"a": 1}\n``` and prose', '{"a": 1}'),
         ('```json{"a": 1}```', '```json{"a": 1}', '{"a": 1}'),
+        ('```json\n{"a": 1}\n``', '{"a": 1}\n``', '{"a": 1}'),
     ],
 )
 def test_fences(reply, strict, lenient):
