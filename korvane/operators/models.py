@@ -67,14 +67,39 @@ def encoder_of(settings: Settings) -> HashingEncoder:
     return HashingEncoder(settings.dim, settings.embed_model)
 
 
-def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "vector", batch: int = 32) -> DataFrame:
-    """df with a vector for each text (null for null). The encoder is built once in each Python worker."""
+#: Characters, padding included, of a batch that an encoder gets. A text longer than that stands alone.
+BUDGET = 8192
+
+
+def packed(lengths: list[int], most: int, budget: int = BUDGET) -> list[list[int]]:
+    """Places of texts, dealt into batches of like lengths: `most` texts at most, and within the budget when all are padded to the longest."""
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    out: list[list[int]] = []
+    for i in order:  # the longest so far
+        if not out or len(out[-1]) >= most or (len(out[-1]) + 1) * lengths[i] > budget:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def padding(lengths: list[int], batches: list[list[int]]) -> int:
+    """Characters that padding to the longest of a batch adds."""
+    return sum(len(b) * max(lengths[i] for i in b) - sum(lengths[i] for i in b) for b in batches)
+
+
+def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "vector", batch: int = 32, budget: int = BUDGET) -> DataFrame:
+    """df with a vector for each text (null for null). The encoder is built once in each Python worker.
+
+    Within an Arrow batch the encoder gets texts of like lengths together, so that short ones are not padded to long ones; vectors come back in the rows' order."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             there = s.dropna()
-            got = [v for i in range(0, len(there), batch) for v in encoder.vectors(list(there.iloc[i : i + batch])).astype("float32")]
+            got: list = [None] * len(there)
+            for places in packed([len(t) for t in there], batch, budget):
+                for i, v in zip(places, encoder.vectors([there.iloc[i] for i in places]).astype("float32"), strict=True):
+                    got[i] = v
             yield pd.Series(got, there.index, dtype=object).reindex(s.index).where(s.notna(), None)
 
     return df.withColumn(vector, run(text))
