@@ -4,12 +4,17 @@ A text's units are its lines, and the runs of neighbouring lines that all share
 templates' words, so that a header over several lines is one unit. Terms are lower-cased runs of letters and digits;
 a term's weight is its count times log((1 + texts) / (1 + texts that hold it)) + 1, counted over the whole table; a
 term that no template has weighs as if one text held it. A unit takes the template with the greatest cosine, at ALIKE
-or more (ties: the earlier template), a text its best unit. The whole text is compared with full licence texts too: one
-is matched if the text holds HELD or more of its distinct runs of SHINGLE words, the one with most runs first, and
-runs that it accounts for do not count for the next. A full licence text goes before units (`similarity` is the share of
-its runs), and units inside it count for nothing of their own. A text is a licence file if its matching units and full
-licence texts hold half of its words or more, otherwise what it has is a header. `own_licenses` lists all licences that
-a text matches, the best first.
+or more (ties: the earlier template), a text its best unit.
+
+Full licence texts are templates too, with the words of all of them as terms. The whole text is compared with them, and
+if it is not like one, stretches of it: for each full text that the words left could be like, the stretch of pieces (PIECE
+words of a line at most) where the weight of its words most exceeds that of others. What a stretch is like grows
+greedily: the template whose sum with those taken has the greatest cosine, as long as that takes a third or more off what
+is missing to 1, so a file with two licences has both. FULL_ALIKE or more of the final cosine is a match; equal cosines
+go by the share of the template's runs of SHINGLE words that the stretch holds, then to the earlier template. The stretch
+of the greatest cosine is taken, then the rest is searched again. A full licence text goes before units, and units inside
+it count for nothing of their own. A text is a licence file if its matching units and full licence texts hold half of its
+words or more, otherwise what it has is a header. `own_licenses` lists all licences that a text matches, the best first.
 
 A path inherits, if it has no licence of its own, from the nearest directory above it, its own first, that holds a
 licence file; of several the most alike decides, then the smaller path. Only distinct directories are paired with
@@ -26,8 +31,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from importlib.resources import files as resources
+from itertools import accumulate
 from math import log, sqrt
 
 import pyarrow as pa
@@ -39,7 +45,8 @@ from korvane.llm.common import arrow_batches, materialize, sent, table
 
 ALIKE = 0.6
 RUN = 0.3
-HELD = 0.8
+FULL_ALIKE = 0.85
+PIECE = 16
 SHINGLE = 5
 WORD = re.compile(r"[^\W_]+")
 
@@ -77,15 +84,12 @@ TEMPLATES = [
 
 
 #: Licences with a full text in license_texts, by SPDX identifier.
-FULL = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
+FULL = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
 
 
 def full_texts() -> list[tuple[str, str]]:
-    """The full texts of FULL, and two made from them: BSD-2-Clause is BSD-3-Clause without its third condition, AGPL-3.0 is GPL-3.0 by its other name."""
-    out = {k: (resources("korvane.llm") / "license_texts" / f"{k}.txt").read_text("utf-8") for k in FULL}
-    out["BSD-2-Clause"] = re.sub(r"(?s)3\. Neither.*?permission\.", "", out["BSD-3-Clause"])
-    out["AGPL-3.0"] = re.sub(r"(?i)(gnu\s+)(general\s+public\s+license)", r"\1affero \2", out["GPL-3.0"])
-    return list(out.items())
+    """The full texts of FULL."""
+    return [(k, (resources("korvane.llm") / "license_texts" / f"{k}.txt").read_text("utf-8")) for k in FULL]
 
 
 def shingles(ws: list[str]) -> list[str]:
@@ -96,16 +100,108 @@ def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class FullTexts:
+    """Full licence texts with weights from the whole table's counts."""
+
+    def __init__(self, full: list[tuple[str, str]], weight: Callable[[str], float], other: float):
+        self.ids = [k for k, _ in full]
+        self.words = [terms(t) for _, t in full]
+        self.counts = [Counter(ws) for ws in self.words]
+        self.square = {w: weight(w) ** 2 for c in self.counts for w in c}
+        self.other = other**2
+        self.norms = [self.dot(c, c) for c in self.counts]
+        # a stretch at FULL_ALIKE has this share of the squared weight, so this many distinct words at least
+        self.least = []
+        for c, all_ in zip(self.counts, self.norms, strict=True):
+            heaviest, got, n = sorted((k * k * self.square[w] for w, k in c.items()), reverse=True), 0.0, 0
+            while got < FULL_ALIKE**2 * all_ * (1 - 1e-9):
+                got, n = got + heaviest[n], n + 1
+            self.least.append(n)
+
+    def dot(self, a: Counter, b: Counter) -> float:
+        return sum(n * b[w] * self.square.get(w, self.other) for w, n in a.items() if w in b)
+
+    def possible(self, bag: set[str]) -> list[int]:
+        """Full texts with enough of their squared weight on words of the bag."""
+        some = [i for i, c in enumerate(self.counts) if len(bag) >= self.least[i] and len(bag.intersection(c)) >= self.least[i]]
+        return [i for i in some if sum(n * n * self.square[w] for w, n in self.counts[i].items() if w in bag) >= FULL_ALIKE**2 * self.norms[i] * (1 - 1e-9)]
+
+    def like(self, ws: list[str]) -> tuple[float, list[int]]:
+        """Cosine and the full texts whose sum ws is like; (0, []) below FULL_ALIKE."""
+        bag = Counter(ws)
+        square = self.dot(bag, bag)
+        known = sum(n * n * self.square[w] for w, n in bag.items() if w in self.square)
+        may = self.possible(set(bag)) if known >= FULL_ALIKE**2 * square * (1 - 1e-9) else []
+        with_ = {i: self.dot(self.counts[i], bag) for i in may}
+        taken: list[int] = []
+        cosine, dots, norm, runs = 0.0, 0.0, 0.0, None
+        while len(taken) < len(may):
+            best = None
+            for i in (i for i in may if i not in taken):
+                grown = norm + self.norms[i] + 2 * sum(self.dot(self.counts[i], self.counts[j]) for j in taken)
+                c = (dots + with_[i]) / sqrt(grown * square)
+                if best is None or c > best[0] + 1e-9:
+                    best = (c, i, grown)
+                elif c > best[0] - 1e-9:
+                    runs = runs or set(shingles(ws))
+                    share = lambda k: len(runs & (own := set(shingles(self.words[k])))) / len(own)  # noqa: E731, B023
+                    if share(i) > share(best[1]):
+                        best = (c, i, grown)
+            if 1 - best[0] > 2 / 3 * (1 - cosine) - 1e-12:
+                break
+            cosine, norm, dots = best[0], best[2], dots + with_[best[1]]
+            taken.append(best[1])
+        return (cosine, taken) if cosine >= FULL_ALIKE - 1e-12 else (0.0, [])
+
+    def stretch(self, pieces: list[list[str]], i: int) -> tuple[int, int]:
+        """Pieces [a, z) where the squared weight of the words of full text i most exceeds that of other words."""
+        own, best, at, sum_, from_ = self.counts[i], 0.0, (0, 0), 0.0, 0
+        for k, ws in enumerate(pieces):
+            if sum_ <= 0:
+                sum_, from_ = 0.0, k
+            for w in ws:
+                sum_ += self.square[w] if w in own else -self.square.get(w, self.other)
+            if sum_ > best:
+                best, at = sum_, (from_, k + 1)
+        return at
+
+    def find(self, lines: list[list[str]], mark: bytearray) -> list[tuple[float, str]]:
+        """Cosine and id of the full texts found; mark gets the words that they cover."""
+        words = [w for ws in lines for w in ws]
+        if not self.possible(set(words)):
+            return []
+        cosine, taken = self.like(words)
+        if taken:
+            mark[:] = b"\1" * len(mark)
+            return [(cosine, self.ids[i]) for i in taken]
+        pieces = [ws[i : i + PIECE] for ws in lines for i in range(0, len(ws), PIECE)]
+        starts = [0, *accumulate(map(len, pieces))]
+        out, rest = [], [(0, len(pieces))]
+        while rest:
+            a, z = rest.pop()
+            part = pieces[a:z]
+            found = (0.0, [], 0, 0)
+            for i in self.possible({w for ws in part for w in ws}):
+                x, y = self.stretch(part, i)
+                got = self.like([w for ws in part[x:y] for w in ws])
+                if got[0] > found[0] + 1e-9:
+                    found = (*got, a + x, a + y)
+            cosine, taken, x, y = found
+            if taken:
+                out += [(cosine, self.ids[i]) for i in taken]
+                mark[starts[x] : starts[y]] = b"\1" * (starts[y] - starts[x])
+                rest += [(a, x), (y, z)]
+        return sorted(out, key=lambda g: -g[0])
+
+
 class Scanner:
     """Templates with weights from the whole table's counts."""
 
     def __init__(self, templates: list[tuple[str, str]], held: dict[str, int], texts: int, full: list[tuple[str, str]]):
-        self.full_ids = [k for k, _ in full]
-        self.full_words = [set(terms(t)) for _, t in full]
-        self.full_runs = [set(shingles(terms(t))) for _, t in full]
         self.ids = [k for k, _ in templates]
         counts = [Counter(terms(t)) for _, t in templates]
         weight = lambda n: log((1 + texts) / (1 + n)) + 1
+        self.full = FullTexts(full, lambda w: weight(held.get(w, 0)), weight(1))
         self.weight = {w: weight(held.get(w, 0)) for c in counts for w in c}
         self.other = weight(1)
         self.vectors = [{w: n * self.weight[w] for w, n in c.items()} for c in counts]
@@ -129,32 +225,11 @@ class Scanner:
                 best = (c, i)
         return best
 
-    def full(self, ws: list[str]) -> tuple[list[tuple[float, str]], bytearray]:
-        """Share and id of the full licence texts that ws holds, and the words of ws that they cover."""
-        mark = bytearray(len(ws))
-        may = [i for i, g in enumerate(self.full_runs) if len(ws) - SHINGLE + 1 >= HELD * len(g)]
-        if may:
-            bag = set(ws)  # of a missing words each ends another run, but for those in the first run
-            may = [i for i in may if len(self.full_words[i] - bag) <= (1 - HELD) * len(self.full_runs[i]) + SHINGLE - 1]
-        if not may:
-            return [], mark
-        runs = shingles(ws)
-        left, out = set(runs), []
-        while True:
-            n, i = max(((len(left & self.full_runs[i]), -i) for i in may if len(left & self.full_runs[i]) >= HELD * len(self.full_runs[i])), default=(0, 0))
-            if not n:
-                return out, mark
-            out.append((n / len(self.full_runs[-i]), self.full_ids[-i]))
-            got = left & self.full_runs[-i]
-            left -= got
-            for at, r in enumerate(runs):
-                if r in got:
-                    mark[at : at + SHINGLE] = b"\1" * SHINGLE
-
     def text(self, text: str | None) -> tuple[str | None, float, bool, list[str]]:
         lines = [WORD.findall(line) for line in (text or "").lower().split("\n")]
         words = [w for ws in lines for w in ws]
-        full, inside = self.full(words)
+        inside = bytearray(len(words))
+        full = self.full.find(lines, inside)
         covered = bytearray(inside)
         best, all_, run = (0.0, -1), [], []
         known_term = self.weight.__contains__
@@ -202,7 +277,8 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]]) -> DataFram
     """All columns of files but text, and own_license, own_licenses, similarity, license_file. Two passes over the texts, no shuffle of them."""
     spark = files.sparkSession
     arrow_batches(spark)
-    vocabulary = {w for _, t in templates for w in terms(t)}
+    full = full_texts()
+    vocabulary = {w for _, t in [*templates, *full] for w in terms(t)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -217,10 +293,11 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]]) -> DataFram
     held = {r["term"]: r["n"] for r in rows}
     texts = held.pop("", 0)
     at = [c for c in files.columns if c not in ("text", "own_license", "own_licenses", "similarity", "license_file", "license", "inherited_from", "directory")]
-    sent = spark.sparkContext.broadcast(full_texts())
+    held_and_full = spark.sparkContext.broadcast((held, full))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(templates, held, texts, sent.value)
+        held, full = held_and_full.value
+        s = Scanner(templates, held, texts, full)
         for b in batches:
             got = [s.text(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in at), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] if g[0] else None for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_()), pa.array([g[3] for g in got], pa.list_(pa.string()))], [*at, "own_license", "similarity", "license_file", "own_licenses"])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from math import log, sqrt
 
 from korvane.llm.common import table
-from korvane.llm.licenses import ALIKE, TEMPLATES, full_texts, licenses, op10_licenses, terms
+from korvane.llm.licenses import ALIKE, FULL_ALIKE, TEMPLATES, full_texts, licenses, op10_licenses, terms
 
 APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
 MIT = "Released under the MIT License."
@@ -67,9 +69,6 @@ def test_full_texts_are_licence_files_and_inherited(spark):
 
 def test_units_equal_a_plain_cosine(spark):
     """Single lines against every template by dense vectors over all terms."""
-    from collections import Counter
-    from math import log, sqrt
-
     rng = random.Random(5)
     lines = []
     for _ in range(150):
@@ -97,6 +96,47 @@ def test_units_equal_a_plain_cosine(spark):
             assert r["own_license"] is None
 
 
+def test_files_equal_a_plain_cosine(spark):
+    """Edited full texts, as whole files, against every full text by dense vectors over all terms."""
+    rng = random.Random(7)
+    full = full_texts()
+    known = {w for _, t in [*TEMPLATES, *full] for w in terms(t)}
+    rows = {}
+    for i in range(66):
+        words = full[i % len(full)][1].split(" ")
+        for _ in range(int(len(words) * rng.choice([0, 0.02, 0.1, 0.3]))):
+            words[rng.randrange(len(words))] = rng.choice(["license", "", "the", *(f"river{rng.randrange(500)}" for _ in range(9))])
+        rows[f"d{i}/LICENSE"] = " ".join(words)
+    rows |= {f"plain/{i}": CODE + f"\nriver{i} evening stone" for i in range(60)}
+    held, n = Counter(w for t in rows.values() for w in set(terms(t))), len(rows)
+    weight = lambda w: log((1 + n) / (1 + (held[w] if w in known else 1))) + 1
+    in_full = {w for _, t in full for w in terms(t)}
+    vector = lambda t: {w: c * (weight(w) if w in in_full else log((1 + n) / 2) + 1) for w, c in Counter(terms(t)).items()}
+    dot = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items())
+    vectors = [(k, vector(t)) for k, t in full]
+    got, matched = of(spark, list(rows.items())), 0
+    for path, t in rows.items():
+        a = vector(t)
+        c, k = max((dot(a, b) / sqrt(dot(a, a) * dot(b, b)), k) for k, b in vectors)
+        if c >= FULL_ALIKE:
+            matched += 1
+            assert (got[path]["own_license"], got[path]["license_file"]) == (k, True) and abs(got[path]["similarity"] - c) < 1e-9
+        elif path.startswith("plain"):
+            assert got[path]["own_license"] is None
+    assert matched > 40
+
+
+def test_full_texts_in_longer_files(spark):
+    full = dict(full_texts())
+    prose = "\n".join(f"the road {i} goes on past the houses and the river to the sea, and nobody there asks who may use it" for i in range(40))
+    rows = [("readme", f"{prose}\n{full['MIT']}\n{prose}"), ("two", f"{prose}\n{full['BSD-3-Clause']}\n{prose}\n{full['MIT']}"), ("equal", f"{full['MIT']}\n{full['BSD-2-Clause']}"), ("gnu", f"{full['GPL-3.0']}\n{full['LGPL-3.0']}")]
+    got = of(spark, rows + [(f"p{i}", f"{prose}\nroad{i}") for i in range(40)])
+    assert (got["readme"]["own_license"], got["readme"]["own_licenses"], got["readme"]["license_file"]) == ("MIT", ["MIT"], False)
+    assert set(got["two"]["own_licenses"]) == {"MIT", "BSD-3-Clause"}
+    assert set(got["equal"]["own_licenses"]) == {"MIT", "BSD-2-Clause"} and got["equal"]["license_file"]
+    assert set(got["gnu"]["own_licenses"]) == {"GPL-3.0", "LGPL-3.0"} and got["gnu"]["license_file"]
+
+
 def test_inheritance_equals_a_walk_up(spark):
     rng = random.Random(6)
     rows = {}
