@@ -13,12 +13,14 @@ from korvane.operators import rerank as R
 from korvane.operators import search as S
 from korvane.operators.filters import FilterSpec, all_of, chip_rows, predicates
 from korvane.operators.index import VectorIndex
-from korvane.operators.models import HashingEncoder, RuleBased, encode
+from korvane.operators.ledger import Remembered, ask
+from korvane.operators.models import PARSE, HashingEncoder, RuleBased, encode
 from korvane.plans.recommend import recommend as run_recommend
 from korvane.plans.recommend import recommend_batch as run_recommend_batch
 from korvane.sources import layout as L
 from korvane.sources.buckets import BucketTable
 from korvane.sources.catalog import generated, product_embeddings, products
+from korvane.sources.dump import read_copy, write_copy
 from korvane.sources.schemas import CANDIDATE
 from korvane.sources.stored import folder
 from korvane.streaming import consumer as E
@@ -279,6 +281,20 @@ def payload_of(s, d, dialect):
 
 FENCE_SQL = r"trim(regexp_replace(regexp_replace(reply, '^```[^\n]*\n', ''), '```\s*$', ''), E' \n')"
 
+def through_dump(df: DataFrame, name: str) -> DataFrame:
+    """df written as COPY text and read back."""
+    path = folder(df.sparkSession, name)
+    write_copy(df, path)
+    return read_copy(df.sparkSession, path, df.schema)
+
+
+def q_ledger_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parser makes of words about each product; equal words are one call."""
+    requests = products(spark, sf_dir).select("id", F.lit(PARSE).alias("system"), F.concat_ws(" ", "gender", "season", "category").alias("user"))
+    replies = ask(requests, Remembered(RuleBased(), "rules", folder(spark, "ledger")), 512)
+    return replies.select("id", P.filters_of(F.col("reply")).alias("r")).select("id", "r.filters.gender", "r.filters.season", "r.filters.category", "r.semantic_query")
+
+
 QUERIES = {
     "scan_products": lambda s, d: products(s, d),
     "scan_embeddings": lambda s, d: product_embeddings(s, d).select("product_id", F.size("embedding").alias("dims"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first")),
@@ -318,6 +334,9 @@ QUERIES = {
     "cascade_delete_bucketed": q_delete_bucketed,
     "pending_bucketed": q_pending_bucketed,
     "outbox_consumed": q_outbox_consumed,
+    "dump_products": lambda s, d: through_dump(products(s, d), "dump"),
+    "dump_embeddings": lambda s, d: through_dump(product_embeddings(s, d), "dump").select("product_id", F.size("embedding").alias("dims"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first")),
+    "ledger_replies": q_ledger_replies,
     "generate_catalog": q_generate,
     "embed_backfill": q_embed_backfill,
     "recommend": q_recommend,
@@ -383,7 +402,8 @@ SQL = {
 }
 
 # Stored forms give the rows of the plain ones.
-SQL |= {"indexed_search": SQL["vector_search_batch"], "filter_all_indexed": SQL["filter_all"], "upsert_bucketed": SQL["upsert_embeddings"], "cascade_delete_bucketed": SQL["cascade_delete"], "pending_bucketed": SQL["pending_embeddings"]}
+SQL |= {"indexed_search": SQL["vector_search_batch"], "filter_all_indexed": SQL["filter_all"], "upsert_bucketed": SQL["upsert_embeddings"], "cascade_delete_bucketed": SQL["cascade_delete"], "pending_bucketed": SQL["pending_embeddings"], "dump_products": SQL["scan_products"], "dump_embeddings": SQL["scan_embeddings"]}
+SQL["ledger_replies"] = CTE + "SELECT id, gender, season, category, concat_ws(' ', gender, season, category) AS semantic_query FROM products"
 SQL["outbox_consumed"] = """
 WITH e AS (SELECT *, greatest(0, event_id // 4 % 16 - 12) AS fails, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE event_id % 4 = 0)
 SELECT user_id AS aggregate_id, place, event_id AS id, event_type, CAST(least(3, fails + 1) AS INT) AS tries, CASE WHEN fails >= 3 THEN 'try 3' END AS error, fails >= 3 AS dead FROM e"""

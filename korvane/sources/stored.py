@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = "8m"
@@ -34,6 +35,11 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set(key, BATCH_BYTES)
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it. For tasks, which have no JVM to ask."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 _written: dict[str, None] = {}  # in order
 
 
