@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from korvane.functions.text import embed_text
 from korvane.functions.vector import check_dim
 from korvane.operators.models import Encoder, encode
+from korvane.operators.watch import Report, Watch, progress  # noqa: F401  progress is part of this module's interface
 from korvane.sources.buckets import BucketTable
 from korvane.sources.schemas import EMBEDDINGS
 from korvane.sources.stored import materialize
@@ -36,10 +38,10 @@ def cascade_delete(embeddings: DataFrame, products: DataFrame) -> DataFrame:
     return embeddings.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
 
 
-def embed(todo: DataFrame, encoder: Encoder, now: Column | None = None, batch: int = 32) -> DataFrame:
+def embed(todo: DataFrame, encoder: Encoder, now: Column | None = None, batch: int = 32, count: Accumulator | None = None) -> DataFrame:
     """Rows of vectors for products, encoded `batch` texts at a time."""
     texts = todo.select(F.col("id").alias("product_id"), embed_text().alias("embedded_text"))
-    rows = encode(texts, encoder, "embedded_text", "embedding", batch)
+    rows = encode(texts, encoder, "embedded_text", "embedding", batch, count=count)
     return rows.select("product_id", check_dim(F.col("embedding"), encoder.dim).alias("embedding"), "embedded_text", F.lit(encoder.name).alias("model"), (now if now is not None else F.current_timestamp()).alias("updated_at"))
 
 
@@ -62,24 +64,23 @@ def backfill(spark: SparkSession, products: DataFrame, embeddings: DataFrame, en
     return write_version(upsert(embeddings.select(*EMBEDDINGS.fieldNames()), rows), location), n
 
 
-def fill(products: DataFrame, table: BucketTable, encoder: Encoder, deleted: Column | None = None, batch: int = 32) -> int:
+def fill(products: DataFrame, table: BucketTable, encoder: Encoder, deleted: Column | None = None, batch: int = 32, report: Report | None = None) -> int:
     """Embed what `table` does not hold and add it: only filters, and the buckets of new rows, are read or written. Returns the count.
 
-    A failure leaves the state as it was; running it again takes up what is missing."""
+    A failure leaves the state as it was; running it again takes up what is missing. `report` is told how far it is."""
     live = products.where(~deleted if deleted is not None else F.col("deleted_at").isNull())
     todo = materialize(table.absent(live.select(*INPUT), "id"), "todo")
     n = todo.count()
-    if n:
+    if n and report is None:
         table.upsert(embed(todo, encoder, batch=batch))
+    elif n:
+        seen = Observation()
+        with Watch(products.sparkSession, n, report) as watch:
+            table.upsert(embed(todo, encoder, batch=batch, count=watch.done).observe(seen, F.count(F.lit(1)).alias("rows")))
+            watch.finished(seen.get["rows"])
     return n
 
 
-def progress(done: int, total: int, seconds: float) -> tuple[float, float]:
-    """Rows a second and seconds left; zeros where there is nothing to divide by."""
-    rate = done / seconds if seconds > 0 else 0.0
-    return rate, (total - done) / rate if rate > 0 else 0.0
-
-
 # What columns of a new product hold that it does not name.
 DEFAULTS = {"tenant_id": "demo", "stock": 0}
 

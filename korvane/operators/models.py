@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -87,10 +88,10 @@ def padding(lengths: list[int], batches: list[list[int]]) -> int:
     return sum(len(b) * max(lengths[i] for i in b) - sum(lengths[i] for i in b) for b in batches)
 
 
-def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "vector", batch: int = 32, budget: int = BUDGET) -> DataFrame:
+def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "vector", batch: int = 32, budget: int = BUDGET, count: Accumulator | None = None) -> DataFrame:
     """df with a vector for each text (null for null). The encoder is built once in each Python worker.
 
-    Within an Arrow batch the encoder gets texts of like lengths together, so that short ones are not padded to long ones; vectors come back in the rows' order."""
+    Within an Arrow batch the encoder gets texts of like lengths together, so that short ones are not padded to long ones; vectors come back in the rows' order. `count` is told how many rows are done."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -100,6 +101,8 @@ def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "v
             for places in packed([len(t) for t in there], batch, budget):
                 for i, v in zip(places, encoder.vectors([there.iloc[i] for i in places]).astype("float32"), strict=True):
                     got[i] = v
+            if count is not None:
+                count.add(len(s))
             yield pd.Series(got, there.index, dtype=object).reindex(s.index).where(s.notna(), None)
 
     return df.withColumn(vector, run(text))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from korvane.operators.backfill import embed, fill
 from korvane.operators.models import Encoder
+from korvane.operators.watch import Report
 from korvane.sources.buckets import BucketTable
 from korvane.sources.stored import materialize
 
@@ -56,10 +57,10 @@ def stream_backfill(products: DataFrame, stored: Callable[[], DataFrame], write:
     return products.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_fill(products: DataFrame, table: BucketTable, encoder: Encoder, checkpoint: str):
-    """stream_backfill() into a keyed table: a micro-batch reads the filters of its own keys, and not what is stored."""
+def stream_fill(products: DataFrame, table: BucketTable, encoder: Encoder, checkpoint: str, report: Report | None = None):
+    """stream_backfill() into a keyed table: a micro-batch reads the filters of its own keys, and not what is stored. `report` is told how far each micro-batch is."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        fill(batch.dropDuplicates(["id"]), table, encoder)
+        fill(batch.dropDuplicates(["id"]), table, encoder, report=report)
 
     return products.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
