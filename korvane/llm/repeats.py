@@ -222,8 +222,8 @@ class Block:
             self.padded = np.concatenate([np.zeros(SPAN, np.uint8), self.data, np.zeros(WINDOW, np.uint8)])
         return np.lib.stride_tricks.sliding_window_view(self.padded, length)
 
-    def strings(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each string over one of the anchors k: row, start, and its place in the block's data."""
+    def strings(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each string over one of the anchors k: row, and its place in the block's data."""
         start = (self.pos[k][:, None] - np.arange(SPAN + 1)).ravel()
         row = np.repeat(self.row[k], SPAN + 1)
         ok = (start >= 0) & (start + WINDOW <= self.sizes[row])
@@ -231,7 +231,7 @@ class Block:
         rows = np.flatnonzero(self.start >= 0)
         rows = rows[np.argsort(self.start[rows])]
         row = rows[np.searchsorted(self.start[rows], at, "right") - 1] if len(at) else np.zeros(0, np.int64)
-        return row, at - self.start[row], at
+        return row, at
 
     def distinct(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct strings at these places (n x WINDOW, bytes), and which of them each place has."""
@@ -349,7 +349,7 @@ def tell_strings(n_buckets: int):
         for k, s in parts(to):
             right, left, rv, lv = b.around(near[s])
             out.append((blk, NEAR, k, np.concatenate([right, left], 1).tobytes(), np.stack([rv, lv], 1).astype(np.uint8).tobytes(), b.doc[b.row[near[s]]].tobytes(), np.stack([b.row[near[s]], b.pos[near[s]]], 1).astype("<u4").tobytes()))
-        row, _, at = b.strings(hot)
+        row, at = b.strings(hot)
         strings, which = b.distinct(at)
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, which, b.doc[row])
@@ -433,22 +433,15 @@ def cut(keep_text: bool, carry: list[str], n_buckets: int):
     def run(t: pa.Table, more: pa.Table) -> pa.Table:
         got = read_notes(more)
         b = block_of(t, got)
-        start_at: dict[int, list[np.ndarray]] = {}
-
-        def add(row: np.ndarray, start: np.ndarray) -> None:
-            order = np.argsort(row, kind="stable")
-            for k, s in parts(row[order]):
-                start_at.setdefault(k, []).append(start[order[s]])
-
+        starts = np.zeros(len(b.data) + 1, bool)  # places in the block's data where a string that goes starts
         for r in got.get(NEAR, []):
             at, mask = np.frombuffer(r["a"], "<u4").reshape(-1, 2).astype(np.int64), np.frombuffer(r["b"], np.uint64)
+            at = b.start[at[:, 0]] + at[:, 1]
             for o in range(SPAN + 1):
-                k = (mask >> np.uint64(o)) & np.uint64(1) == 1
-                if k.any():
-                    add(at[k, 0], at[k, 1] - o)
+                starts[at[(mask >> np.uint64(o)) & np.uint64(1) == 1] - o] = True
         _, hot = shared_of(b, got, n_buckets)
         if len(hot):
-            row, start, at = b.strings(hot)
+            row, at = b.strings(hot)
             strings, which = b.distinct(at)
             # the smallest document of this block, or of another one
             smallest = np.full(len(strings), np.iinfo(np.int64).max)
@@ -461,21 +454,19 @@ def cut(keep_text: bool, carry: list[str], n_buckets: int):
                 place = np.empty(both.max() + 1, np.int64)
                 place[both[: len(strings)]] = np.arange(len(strings))
                 np.minimum.at(smallest, place[both[len(strings) :]], least)
-            k = smallest[which] < b.doc[row]
-            add(row[k], start[k])
+            starts[at[smallest[which] < b.doc[row]]] = True
+        edge = starts.astype(np.int8)
+        edge[WINDOW:] -= starts[:-WINDOW]
+        gone = np.cumsum(edge, dtype=np.int8) > 0  # no byte is in more than WINDOW strings
         n_removed, n_spans, sha, kept = [], [], [], []
         for k, x in enumerate(b.texts):
+            own = gone[b.start[k] : b.start[k] + len(x)] if b.start[k] >= 0 else gone[:0]
             if b.copy[k] and len(x) >= WINDOW:
                 n_removed.append(len(x)), n_spans.append(1)
                 left = b""
-            elif k in start_at:
-                edge = np.zeros(len(x) + 1, np.int32)
-                s = np.unique(np.concatenate(start_at[k]))
-                edge[s] += 1
-                edge[s + WINDOW] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                n_removed.append(int(gone.sum())), n_spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
-                left = np.frombuffer(x, np.uint8)[~gone].tobytes()
+            elif own.any():
+                n_removed.append(int(own.sum())), n_spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()))
+                left = np.frombuffer(x, np.uint8)[~own].tobytes()
             else:
                 n_removed.append(0), n_spans.append(0)
                 left = x
