@@ -52,6 +52,8 @@ BYTES = byte_table(11), byte_table(12)
 
 def blind_trie(strings: list[bytes]) -> list[int]:
     """Order of equally long strings. Nodes hold only the depth at which they branch and one byte for each branch."""
+    if len(strings) == 2:
+        return [0, 1] if strings[0] <= strings[1] else [1, 0]
     root: list | int = 0  # a leaf is the number of a string; a node [depth, {byte: child}, any string below it]
     same: dict[int, list[int]] = {}
     for i, s in enumerate(strings[1:], 1):
@@ -377,6 +379,7 @@ def judge_near(right: np.ndarray, left: np.ndarray, rv: np.ndarray, lv: np.ndarr
     few = np.flatnonzero(np.bincount(anchor)[anchor] > 1)  # anchors whose surroundings are all equal are done
     if not len(few):
         return mask
+    few = few[np.argsort(smallest[few], kind="stable")]  # so that the first of each class below has its smallest document
     f, anchor, small = first[few], anchor[few], smallest[few]
     by_right, common_right = deep_shallow(right[f], anchor)
     by_left, common_left = deep_shallow(left[f], anchor)
@@ -390,7 +393,7 @@ def judge_near(right: np.ndarray, left: np.ndarray, rv: np.ndarray, lv: np.ndarr
         a[by_right] = np.cumsum(common_right < WINDOW - o)
         b[by_left] = np.cumsum(common_left < o)
         key = (a * (m + 1) + b)[ok]
-        order = np.lexsort((small[ok], key))
+        order = np.argsort(key, kind="stable")
         k, s = key[order], small[ok][order]
         new = np.r_[True, k[1:] != k[:-1]]
         least = s[new][np.cumsum(new) - 1]
