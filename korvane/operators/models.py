@@ -108,6 +108,13 @@ def encode(df: DataFrame, encoder: Encoder, text: str = "text", vector: str = "v
     return df.withColumn(vector, run(text))
 
 
+def model_of(settings: Settings) -> RuleBased:
+    """The language model that the settings name. Only the stand-in is at hand without a network."""
+    if settings.language_model != "rules":
+        raise ValueError(f"no language model {settings.language_model} here; pass one of your own")
+    return RuleBased()
+
+
 class Replay:
     """Canned replies, by the user's text."""
 

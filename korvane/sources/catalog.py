@@ -1,10 +1,10 @@
-"""The catalog: views over the driver's tables, Parquet and JDBC sources, and a generator."""
+"""The catalog: views over the driver's tables, stored tables, and a generator. sources/database.py has the tables in a database."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from korvane.functions.text import round_price
 from korvane.sources.schemas import ANY_GENDER, EMBEDDINGS, GENDERS, PRODUCTS, SEASONS, STYLES
@@ -45,20 +45,16 @@ def read(spark: SparkSession, location: str, name: str = "products") -> DataFram
     return spark.read.schema({"products": PRODUCTS, "product_embeddings": EMBEDDINGS}[name]).parquet(f"{location}/{name}")
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
-    """A database table, read by ranges of its key in `parts` connections, as its declared schema has it.
-
-    The vectors of product_embeddings come as texts such as [1,2] and become arrays."""
-    key = "id" if name == "products" else "product_id"
-    rows = spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=lower, upperBound=upper, numPartitions=parts, **options).load()
-    return declared(rows, {"products": PRODUCTS, "product_embeddings": EMBEDDINGS}[name])
-
-
 def declared(rows: DataFrame, schema: StructType) -> DataFrame:
     """rows with the columns and types of a schema; texts of arrays are read."""
-    texts = {f.name for f in rows.schema.fields if isinstance(f.dataType, StringType)}
-    value = lambda f: F.from_json(f.name, f.dataType) if isinstance(f.dataType, ArrayType) and f.name in texts else F.col(f.name).cast(f.dataType)
-    return rows.select(*(value(f).alias(f.name) for f in schema.fields))
+    given = {f.name: f.dataType for f in rows.schema.fields}
+
+    def value(name: str, kind: DataType) -> Column:
+        if isinstance(kind, ArrayType) and isinstance(given[name], StringType):
+            return F.from_json(name, kind)
+        return F.col(name) if given[name] == kind else F.col(name).cast(kind)  # a cast to its own type would keep filters on a VARCHAR from the database
+
+    return rows.select(*(value(f.name, f.dataType).alias(f.name) for f in schema.fields))
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,7 @@ class Settings:
     language_model: str = field(default_factory=lambda: environ.get("LLM_MODEL", "rules"))
     dim: int = field(default_factory=lambda: int(environ.get("EXPECTED_DIM", "1024")))
     batch: int = field(default_factory=lambda: int(environ.get("BATCH", "32")))
+    dsn: str = field(default_factory=lambda: environ.get("DB_DSN", ""))
     total: int = field(default_factory=lambda: int(environ.get("TOTAL", "10000")))
 
 
