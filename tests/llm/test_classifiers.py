@@ -126,12 +126,20 @@ def test_quality_scores_equal_plain_compression(spark):
     rng = np.random.default_rng(1)
     parts = lambda letters: [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(40)).encode() for _ in range(60)]
     good, bad = (zstandard.train_dictionary(1024, parts(x)).as_bytes() for x in ("abcd", "wxyz"))
-    texts = ["abcda bcdab dcbaa " * 9, "wxyzw xyzwx " * 9, "", None]
+    texts = ["abcda bcdab dcbaa " * 9, "wxyzw xyzwx " * 9, "", None, "é", " ".join(x.decode() for x in parts("abyz"))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in quality.score(df, (good, bad, 3.0, -0.2)).collect()}
     assert got[0] > got[2] == got[3] > got[1]
-    sizes = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(texts[0].encode())) for d in (good, bad)]
-    assert (sizes[0] < sizes[1]) == (got[0] > got[2])
+
+    def plain(text: bytes, dictionary: bytes) -> int:
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(text[i : i + quality.BLOCK])) for i in range(0, len(text), quality.BLOCK))
+
+    for i, text in enumerate(texts):
+        x = (text or "").encode()
+        with_good, with_bad = plain(x, good), plain(x, bad)
+        apart = (with_bad - with_good) / (with_bad + with_good) if x else 0.0
+        assert abs(got[i] - 1 / (1 + np.exp(-(3.0 * apart - 0.2)))) < 1e-9
 
 
 def test_labels_that_repeat_a_document(spark):
