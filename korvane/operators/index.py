@@ -41,6 +41,7 @@ HELD = 1 << 20
 
 FILTER_TYPES = {f.name: f.dataType for f in FILTERS.fields}
 ALSO = {"gender": ANY_GENDER, "season": ANY_SEASON}
+NO_FILTERS = (None,) * len(FILTER_TYPES)
 MAPS = ", ".join(f"{c} map<string,binary>" for c in TEXTS)
 BLOCKS = f"lane int, n int, dim int, ids binary, codes binary, scale binary, slack binary, kind binary, price binary, priced binary, stocked binary, {MAPS}"
 KNOWN, VOID, WILD = 0, 1, 2
@@ -122,7 +123,7 @@ class Query:
     filters: tuple  # in the order of FILTER_TYPES
 
 
-class _Scan:
+class Scan:
     """One task's nearest: pairs of query and product whose least distance may still be among the k nearest seen."""
 
     def __init__(self, queries: list[Query], k: int):
@@ -161,8 +162,19 @@ class _Scan:
 
     def _keep(self, of: np.ndarray, lane: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         """low and high have a row for each query of `of` and a column for each of ids."""
-        self.best[of] = np.partition(np.concatenate([self.best[of], high], axis=1), self.k - 1, axis=1)[:, : self.k]
         q, x = np.nonzero(low <= self.best[of].max(axis=1)[:, None])
+        self._keep_pairs(of, q, x, lane, ids, low, high)
+
+    def _keep_pairs(self, of: np.ndarray, q: np.ndarray, x: np.ndarray, lane: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """The pairs at rows q (ascending) and columns x of low and high alone."""
+        if not len(q):
+            return
+        hit = np.unique(q)
+        near = np.full((len(hit), high.shape[1]), np.inf, np.float32)
+        near[np.searchsorted(hit, q), x] = high[q, x]
+        self.best[of[hit]] = np.partition(np.concatenate([self.best[of[hit]], near], axis=1), self.k - 1, axis=1)[:, : self.k]
+        stay = low[q, x] <= self.best[of].max(axis=1)[q]
+        q, x = q[stay], x[stay]
         self.pairs.append((of[q], np.full(len(q), lane, np.int32), ids[x], low[q, x], high[q, x]))
         self.held += len(q)
         if self.held > HELD:
@@ -263,7 +275,7 @@ class VectorIndex:
             def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 if not sent.value:
                     return
-                state = _Scan(sent.value, k)
+                state = Scan(sent.value, k)
                 for batch in batches:
                     for i in range(batch.num_rows):
                         state.block(batch.slice(i, 1).to_pylist()[0])
