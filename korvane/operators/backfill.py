@@ -40,7 +40,7 @@ def cascade_delete(embeddings: DataFrame, products: DataFrame) -> DataFrame:
 
 def embed(todo: DataFrame, encoder: Encoder, now: Column | None = None, batch: int = 32, count: Accumulator | None = None) -> DataFrame:
     """Rows of vectors for products, encoded `batch` texts at a time."""
-    texts = todo.select(F.col("id").alias("product_id"), embed_text().alias("embedded_text"))
+    texts = todo.select(F.col("id").alias("product_id"), embed_text().alias("embedded_text")).repartition("product_id")  # the encoder's work is dealt out however few files there are
     rows = encode(texts, encoder, "embedded_text", "embedding", batch, count=count)
     return rows.select("product_id", check_dim(F.col("embedding"), encoder.dim).alias("embedding"), "embedded_text", F.lit(encoder.name).alias("model"), (now if now is not None else F.current_timestamp()).alias("updated_at"))
 

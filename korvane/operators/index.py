@@ -4,8 +4,9 @@
            `vectors`, one row a product, by lane (the range), and as `blocks`, one row for up to ROWS products of a lane. A
            block has each vector of length 1 as int8 codes with a scale and a bound on what the codes leave out; a bitmap
            of its products for each value of each filter; prices and stock.
-  scan     A table of queries goes to the scan in packs of a bounded size. For each set of filters, a block's bitmaps are
-           intersected and the codes of what is left meet all queries of the set in one matrix product. The bound gives each
+  scan     A table of queries goes to the scan in packs of a bounded size. For each set of filters but
+           prices, a block's bitmaps are intersected and the codes of what is left meet all queries of the set in matrix
+           products; prices are compared pair by pair. The bound gives each
            distance a least and a greatest value. A task keeps what may be among its own k nearest.
   exact    Per query, the k-th least greatest value is a limit: what is at least farther cannot win. The rest meets the
            exact vectors in an equi-join by lane and id (lanes without candidates are not read) and is ranked by the exact
@@ -38,6 +39,8 @@ ROWS = 2048
 PACK_BYTES = 16 << 20
 #: Pairs that a task keeps before it drops those that its own k nearest have overtaken.
 HELD = 1 << 20
+#: Pairs of a query and a product that are compared in one step.
+STEP = 1 << 20
 
 FILTER_TYPES = {f.name: f.dataType for f in FILTERS.fields}
 ALSO = {"gender": ANY_GENDER, "season": ANY_SEASON}
@@ -124,13 +127,23 @@ class Query:
 
 
 class Scan:
-    """One task's nearest: pairs of query and product whose least distance may still be among the k nearest seen."""
+    """One task's nearest: pairs of query and product whose least distance may still be among the k nearest seen.
+
+    Queries with the same filters but prices are a set; prices are compared pair by pair, as they are as many as the queries."""
 
     def __init__(self, queries: list[Query], k: int):
         self.k, self.queries = k, queries
-        self.sets: dict[tuple, list[int]] = {}
+        sets: dict[tuple, list[int]] = {}
+        bound = np.full((2, len(queries)), np.nan)
         for i, q in enumerate(queries):
-            self.sets.setdefault(q.filters, []).append(i)
+            f = dict(zip(FILTER_TYPES, q.filters, strict=True))
+            sets.setdefault((*(f[c] for c in TEXTS), f["in_stock_only"] is not False), []).append(i)
+            bound[:, i] = [np.nan if f[c] is None else f[c] for c in ("price_min", "price_max")]
+        self.bound = np.where(np.isnan(bound), [[-np.inf], [np.inf]], bound)
+        self.bounded = ~np.isnan(bound).all(axis=0)
+        self.sets: dict[object, list[tuple[dict, bool, np.ndarray]]] = {}  # by category
+        for (*texts, stocked), members in sets.items():
+            self.sets.setdefault(texts[0], []).append((dict(zip(TEXTS, texts, strict=True)), stocked, np.array(members)))
         unit, kind = vector_rows(pa.array([q.vector for q in queries], pa.list_(pa.float64())))
         kind[[q.vector is not None and len(q.vector) != unit.shape[1] for q in queries]] = VOID  # meets no vector but the odd ones
         self.unit, self.kind = unit.astype(np.float32), kind
@@ -138,31 +151,23 @@ class Scan:
         self.pairs: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def _mask(self, b: dict, filters: tuple, price: np.ndarray) -> np.ndarray:
-        f, n = dict(zip(FILTER_TYPES, filters, strict=True)), b["n"]
-        none = bytes(-(-n // 8))
-        bits = np.full(len(none), 255, np.uint8)
-        read = lambda x: np.frombuffer(x, np.uint8)
-        for c in TEXTS:
-            if f[c] is not None:
-                values = dict(b[c])
-                bits = bits & (read(values.get(f[c], none)) | read(values.get(ALSO.get(c), none)))
-        if f["in_stock_only"] is not False:
-            bits = bits & read(b["stocked"])
-        if f["price_min"] is not None or f["price_max"] is not None:
-            bits = bits & read(b["priced"])
-        if not bits.any():
-            return np.zeros(0, np.int64)
-        on = np.unpackbits(bits)[:n].astype(bool)
-        if f["price_min"] is not None:
-            on &= price >= f["price_min"]
-        if f["price_max"] is not None:
-            on &= price <= f["price_max"]
-        return np.flatnonzero(on)
-
-    def _keep(self, of: np.ndarray, lane: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        """low and high have a row for each query of `of` and a column for each of ids."""
-        q, x = np.nonzero(low <= self.best[of].max(axis=1)[:, None])
+    def _on(self, b: dict, values: dict[str, dict], texts: dict, stocked: bool) -> np.ndarray:
+        """Places of a block's products that a set's filters leave, but for prices."""
+        bits = np.full(-(-b["n"] // 8), 255, np.uint8)
+        for c, wanted in texts.items():
+            if wanted is not None:
+                maps = [m for v in {wanted, ALSO.get(c, wanted)} if (m := values[c].get(v)) is not None]
+                if not maps:
+                    return np.zeros(0, np.int64)
+                bits = bits & np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in maps])
+        if stocked:
+            bits = bits & np.frombuffer(b["stocked"], np.uint8)
+        return np.flatnonzero(np.unpackbits(bits)[: b["n"]]) if bits.any() else np.zeros(0, np.int64)
+
+    def _keep(self, of: np.ndarray, lane: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray, fit: np.ndarray | None = None) -> None:
+        """low and high have a row for each query of `of` and a column for each of ids; fit: which pairs there are."""
+        met = low <= self.best[of].max(axis=1)[:, None]
+        q, x = np.nonzero(met if fit is None else met & fit)
         self._keep_pairs(of, q, x, lane, ids, low, high)
 
     def _keep_pairs(self, of: np.ndarray, q: np.ndarray, x: np.ndarray, lane: int, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
@@ -193,36 +198,52 @@ class Scan:
     def block(self, b: dict) -> None:
         n, dim = b["n"], b["dim"]
         ids, price, kind = np.frombuffer(b["ids"], "<i8"), np.frombuffer(b["price"], "<i8"), np.frombuffer(b["kind"], np.uint8)
+        priced = np.unpackbits(np.frombuffer(b["priced"], np.uint8))[:n].astype(bool)
         codes = np.frombuffer(b["codes"], np.int8).reshape(n, dim)
         scale, slack = np.frombuffer(b["scale"], np.float32), np.frombuffer(b["slack"], np.float32)
-        for filters, members in self.sets.items():
-            on = self._mask(b, filters, price)
-            if not len(on):
-                continue
-            of, what = np.array(members), kind[on]
-            known = of[self.kind[of] == KNOWN] if dim == self.unit.shape[1] else of[:0]
-            blind = of[self.kind[of] == VOID] if dim == self.unit.shape[1] else of[self.kind[of] != WILD]
-            wild = of[self.kind[of] == WILD]
-            if len(known):
-                rows = on[what == KNOWN]
-                if len(rows):
-                    near = (codes[rows].astype(np.float32) * scale[rows][:, None]) @ self.unit[known].T
-                    self._keep(known, b["lane"], ids[rows], (1 - near - slack[rows][:, None]).T, (1 - near + slack[rows][:, None]).T)
-                self._last(known[self.best[known].max(axis=1) >= BEYOND], b["lane"], ids[on[what == VOID]])
-            self._last(blind, b["lane"], ids[on[what != WILD]])
-            self._any(np.concatenate([known, blind]), b["lane"], ids[on[what == WILD]])
-            self._any(wild, b["lane"], ids[on])
-
-    def _last(self, of: np.ndarray, lane: int, ids: np.ndarray) -> None:
-        if len(of) and len(ids):
-            ids = np.sort(ids)[: self.k]
-            far = np.full((len(of), len(ids)), BEYOND, np.float32)
-            self._keep(of, lane, ids, far, far)
-
-    def _any(self, of: np.ndarray, lane: int, ids: np.ndarray) -> None:
-        if len(of) and len(ids):
-            shape = (len(of), len(ids))
-            self._keep(of, lane, ids, np.full(shape, -1, np.float32), np.full(shape, BEYOND, np.float32))
+        values = {c: dict(b[c]) for c in TEXTS}
+        for category in [None, *values["category"]]:
+            for texts, stocked, members in self.sets.get(category, ()):
+                on = self._on(b, values, texts, stocked)
+                if not len(on):
+                    continue
+                cost, there = price[on], priced[on]
+                low, high = (cost[there].min(), cost[there].max()) if there.any() else (np.inf, -np.inf)
+                fits = ~self.bounded[members] | ((self.bound[0, members] <= high) & (self.bound[1, members] >= low))
+                vectors = codes[on].astype(np.float32) * scale[on][:, None]
+                step = max(1, STEP // len(on))
+                for start in range(0, int(fits.sum()), step):
+                    self._meet(members[fits][start : start + step], dim, b["lane"], ids[on], kind[on], vectors, slack[on], cost, there)
+
+    def _meet(self, of: np.ndarray, dim: int, lane: int, ids: np.ndarray, what: np.ndarray, vectors: np.ndarray, slack: np.ndarray, cost: np.ndarray, priced: np.ndarray) -> None:
+        """Queries of one set and the products of a block that the set leaves."""
+
+        def fit(of: np.ndarray, rows: np.ndarray) -> np.ndarray | None:
+            if not self.bounded[of].any():
+                return None
+            c = cost[rows][None, :]
+            return ~self.bounded[of][:, None] | (priced[rows] & (c >= self.bound[0, of][:, None]) & (c <= self.bound[1, of][:, None]))
+
+        known = of[self.kind[of] == KNOWN] if dim == self.unit.shape[1] else of[:0]
+        blind = of[self.kind[of] == VOID] if dim == self.unit.shape[1] else of[self.kind[of] != WILD]
+        wild = of[self.kind[of] == WILD]
+        if len(known):
+            rows = np.flatnonzero(what == KNOWN)
+            if len(rows):
+                far = 1 - self.unit[known] @ vectors[rows].T
+                self._keep(known, lane, ids[rows], far - slack[rows], far + slack[rows], fit(known, rows))
+            rows, short = np.flatnonzero(what == VOID), known[self.best[known].max(axis=1) >= BEYOND]
+            self._all(short, lane, ids, rows, BEYOND, fit)
+        rows = np.flatnonzero(what != WILD)
+        self._all(blind, lane, ids, rows, BEYOND, fit)
+        self._all(np.concatenate([known, blind]), lane, ids, np.flatnonzero(what == WILD), -1, fit)
+        self._all(wild, lane, ids, np.arange(len(ids)), -1, fit)
+
+    def _all(self, of: np.ndarray, lane: int, ids: np.ndarray, rows: np.ndarray, low: float, fit) -> None:
+        """Pairs without a distance (low is BEYOND), or with one that only the exact vectors tell (-1)."""
+        if len(of) and len(rows):
+            shape = (len(of), len(rows))
+            self._keep(of, lane, ids[rows], np.full(shape, low, np.float32), np.full(shape, BEYOND, np.float32), fit(of, rows))
 
     def found(self) -> Iterator[tuple[np.ndarray, ...]]:
         if self.pairs:
@@ -245,6 +266,7 @@ class VectorIndex:
         live = products.where(~deleted if deleted is not None else F.col("deleted_at").isNull())
         rows = live.select("id", *TEXTS, effective_price().cast("long").alias("price"), F.col("stock").cast("long").alias("stock")).join(embeddings.select(F.col("product_id").alias("id"), "embedding"), "id")
         if ordered:
+            rows = materialize(rows, "rows")  # the ranges are found by a pass of their own
             order = ["category", "gender", "season", "price", "id"]
             rows = rows.repartitionByRange(*([lanes] if lanes else []), *order).sortWithinPartitions(*order)
         rows.withColumn("lane", F.spark_partition_id()).write.partitionBy("lane").parquet(f"{location}/vectors")

@@ -250,7 +250,7 @@ def q_embed_backfill(s, d):
 
 def small_catalog(s, d):
     p = products(s, d)
-    texts = with_texts(p).select(F.col("id").alias("product_id"), X.embed_text().alias("t"))
+    texts = with_texts(p).select(F.col("id").alias("product_id"), X.embed_text().alias("t")).repartition("product_id")  # a small file is one task
     return p, encode(texts, HashingEncoder(64), "t", "embedding").drop("t")
 
 
