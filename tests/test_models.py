@@ -8,7 +8,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from korvane.functions.text import embed_text
+from korvane.operators.filters import FilterSpec
 from korvane.operators.models import HashingEncoder, encode, packed, padding
+from korvane.operators.search import search
+from korvane.plans.queries import gone, small_catalog
 from korvane.sources import catalog as C
 
 
@@ -36,3 +39,13 @@ def test_short_texts_are_not_padded_to_long_ones(spark):
     before = padding(lengths, [list(range(i, min(i + 32, 2000))) for i in range(0, 2000, 32)])
     after = padding(lengths, packed(lengths, 32))
     assert after < 0.05 * before
+
+
+def test_vectors_of_an_encoder_are_not_sent_to_all_tasks(spark, sf):
+    """Spark takes them for few bytes, however long they are; the driver would have to hold them."""
+    p, e = small_catalog(spark, sf)
+    size = e._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < e.count() * 64 * 4 / 2  # what Spark believes
+    for found in (search(p, e, [0.5] * 64, FilterSpec(), 10, gone()), p.withColumnRenamed("id", "product_id").join(e.drop("x"), "product_id")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, plan
