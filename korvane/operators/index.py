@@ -305,7 +305,7 @@ class VectorIndex:
                     yield pa.RecordBatch.from_arrays([pa.array([sent.value[i].qid for i in of], {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())), pa.array(lane), pa.array(ids), pa.array(low), pa.array(high)], ["qid", "lane", "id", "low", "high"])
 
             found = materialize(self.blocks.mapInArrow(scan, schema), "candidates")
-            sent.unpersist()
+            sent.destroy()  # unpersist() would leave each pack in the driver
             out = found if out is None else out.unionByName(found)
         # the k-th least greatest distance of all tasks
         at = F.row_number().over(Window.partitionBy("qid").orderBy("high", "id"))

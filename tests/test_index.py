@@ -93,3 +93,21 @@ def test_no_rows(spark, catalog, vectors, tmp_path):
     assert none.search(asked(spark, 3), 5).count() == 0
     some = VectorIndex.write(catalog, vectors, str(tmp_path / "b"))
     assert some.search(asked(spark, 3).limit(0), 5).count() == 0 and some.search(asked(spark, 3), 0).count() == 0
+
+
+def test_an_index_of_encoded_vectors_sends_none_of_them_out(spark, sf, tmp_path, monkeypatch):
+    """A batch of requests searches what an encoder has just made; packs of queries leave the driver once they were scanned."""
+    from pyspark.core.broadcast import Broadcast
+
+    from korvane.operators import index as I
+    from korvane.plans.queries import gone, small_catalog
+
+    plans, ended = [], []
+    monkeypatch.setattr(I, "materialize", lambda df, name, made=I.materialize: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), made(df, name))[1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, end=Broadcast.destroy: (ended.append(self), end(self, *a))[1])
+    p, e = small_catalog(spark, sf)
+    index = VectorIndex.write(p, e, str(tmp_path / "index"), gone())
+    rows = next(plan for name, plan in plans if name == "rows")
+    assert "SortMergeJoin" in rows and "BroadcastExchange" not in rows, rows
+    found = index.search(e.where("product_id % 50 = 0").select(F.col("product_id").alias("qid"), F.col("embedding").alias("q")), 3, pack_bytes=2048)
+    assert found.count() == 12 and len(ended) > 1
