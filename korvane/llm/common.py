@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from korvane.sources.stored import arrow_batches, discard, hold, let_go, materialize, shared_dir, sweep  # noqa: F401  used from here throughout the package
+from korvane.sources.stored import arrow_batches, bucketed, discard, freeing, hold, let_go, materialize, shared_dir, sweep  # noqa: F401  used from here throughout the package
 
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Executors delete the shuffle files of what is written in here as soon as it is written, not when the driver happens to collect its garbage. Not for what hold() keeps."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if not spark.conf.isModifiable(key):
+        yield
+        return
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def bucketed(df: DataFrame, by: str, n: int, name: str) -> DataFrame:
+    """materialize() in n files by a hash of a column: what needs rows together by it reads them without a shuffle. The name that the catalog has for it meanwhile is dropped at once."""
+    spark = df.sparkSession
+    path, title = folder(spark, name), f"korvane_{name}_{uuid.uuid4().hex}"
+    with freeing(spark):
+        df.repartition(n, by).write.option("path", path).option("compression", "zstd").bucketBy(n, by).saveAsTable(title)
+    out = spark.table(title)
+    out.schema  # analysed, so that it stays a table of buckets
+    spark.sql(f"DROP TABLE {title}")
+    out._korvane_path = path
+    return out
+
+
 _held: list[DataFrame] = []
 
 

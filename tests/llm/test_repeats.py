@@ -132,3 +132,44 @@ def test_nothing_stays_persisted(spark, sf):
     sweep(spark)
     assert R.op6_suffix_dedup(spark, sf).count() > 0
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+@pytest.mark.parametrize("part", [0.02, 0.2])
+def test_rounds_change_no_byte(spark, monkeypatch, part):
+    rounds = []
+    monkeypatch.setattr(R, "ROUND", part)
+    monkeypatch.setattr(R, "HOT", 5)
+    monkeypatch.setattr(R, "materialize", lambda df, name, made=R.materialize: (rounds.append(name), made(df, name))[1])
+    rows = list(dict(made(1)).items())
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == every_string(rows)
+    assert rounds.count("judged") > 2
+
+
+def test_texts_are_stored_once_and_what_was_shuffled_goes(spark, sf):
+    """Else disk holds the texts as shuffle files and as cached rows beside all that was ever sent out."""
+    import gc
+    import time
+    from pathlib import Path
+
+    from korvane.sources.stored import sweep
+
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    sweep(spark)
+    gc.collect()
+    before = shuffled()
+    out = R.repeats(table(spark, sf, "documents"))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1, plan  # the notes move, the texts do not
+    left = lambda: sum(f.stat().st_size for f in shuffled() - before if f.exists())
+    for _ in range(50):
+        if left() < 2000:
+            break
+        time.sleep(0.2)
+    assert left() < 2000  # counts and sums of what is written
+    assert out.count() == table(spark, sf, "documents").count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("korvane_")]
+    sweep(spark)
